@@ -265,3 +265,62 @@ def found_pairs(vectors: DataFrame, cosine: float = 0.75, k: int = 10) -> DataFr
     """row_a < row_b, one of which is among the other's k most similar."""
     top = similar_rows(vectors, cosine, k)
     return top.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b")).distinct()
+
+
+QUERY_BLOCK = 16_384
+
+
+def block_topk(vectors: DataFrame, modulus: int = 20, k: int = 10, dim: int = DIM, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """a, b, score, rank: exact top k of the rows whose number is divisible by ``modulus``, against all rows.
+
+    Queries are taken in blocks of ``query_block`` (16 MB of floats each, the only
+    thing that is broadcast); each block is one pass over the vectors that keeps
+    k partners per query and partition.
+    """
+    spark = vectors.sparkSession
+    packed = checkpoint(packed_rows(vectors, dim))
+    asked = packed.where(F.col("row_no") % modulus == 0)
+    n_blocks = max(1, -(-asked.count() // query_block))
+    parts = None
+    for block in range(n_blocks):
+        chosen = asked.where(F.pmod(F.xxhash64("row_no"), F.lit(n_blocks)) == block).collect()  # at most about query_block rows
+        spread = spark.sparkContext.broadcast((np.array([r.row_no for r in chosen], dtype=np.int64), [bytes(r.v) for r in chosen]))
+
+        def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, blobs = spread.value
+            if not len(ids):
+                return
+            q = _unpack(blobs, dim)
+            q_squares = (q * q).sum(axis=1)
+            best = np.full((len(ids), 0), -2.0)
+            who = np.zeros((len(ids), 0), dtype=np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                rows = batch.column(0).to_numpy()
+                m = _unpack(batch.column(1).to_pylist(), dim)
+                score = (q @ m.T) / np.sqrt(np.outer(q_squares, (m * m).sum(axis=1)))
+                score[ids[:, None] == rows[None, :]] = -2.0
+                best = np.concatenate([best, score], axis=1)
+                who = np.concatenate([who, np.broadcast_to(rows, score.shape)], axis=1)
+                if best.shape[1] > k:
+                    order = np.lexsort((who, -best), axis=1)[:, :k]
+                    best, who = np.take_along_axis(best, order, axis=1), np.take_along_axis(who, order, axis=1)
+            for i in range(0, len(ids), 4096):
+                a = np.repeat(ids[i : i + 4096], best.shape[1])
+                b, s = who[i : i + 4096].ravel(), best[i : i + 4096].ravel()
+                keep = s > -2.0
+                yield pa.record_batch({"a": pa.array(a[keep]), "b": pa.array(b[keep]), "score": pa.array(s[keep])})
+
+        part = packed.mapInArrow(run, "a long, b long, score double")
+        parts = part if parts is None else parts.unionByName(part)
+    return _top(F.col("a"), parts, k)
+
+
+def recall_report(vectors: DataFrame, cosine: float = 0.75, k: int = 10, modulus: int = 20) -> DataFrame:
+    """Recall of the forest against the exact block search for the query rows, over partners of at least ``cosine``."""
+    exact = checkpoint(block_topk(vectors, modulus, k).where(F.col("score") >= cosine).select("a", "b"))
+    forest = similar_rows(vectors, cosine, k).where(F.col("a") % modulus == 0).select("a", "b", F.lit(1).alias("hit"))
+    return exact.join(forest, ["a", "b"], "left").agg(
+        F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall")
+    )
