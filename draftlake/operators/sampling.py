@@ -132,7 +132,7 @@ def next_fit_batches(sizes: DataFrame, most_nodes: int, most_graphs: int) -> Dat
         yield pd.DataFrame(out, columns=["size", "begin", "count", "batch", "per"])
 
     runs = counts.coalesce(1).mapInPandas(fold, "size long, begin long, count long, batch long, per long")
-    nth = F.row_number().over(Window.partitionBy(F.greatest("n", F.lit(1))).orderBy("id")) - 1
+    nth = F.row_number().over(Window.partitionBy(F.greatest("n", F.lit(1))).orderBy("n", "id")) - 1
     placed = sizes.withColumn("size", F.greatest("n", F.lit(1))).withColumn("nth", nth).join(runs, "size").where((F.col("nth") >= F.col("begin")) & (F.col("nth") < F.col("begin") + F.col("count")))
     return placed.select("id", "n", (F.col("batch") + F.floor((F.col("nth") - F.col("begin")) / F.col("per"))).alias("batch"))
 

@@ -274,16 +274,16 @@ def scale_bucket(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "plan_attributes").select("floor_plan_id", F.unix_micros("extracted_at").alias("at"), vectors.scale_bucket(F.try_element_at("inventory", F.lit("bed"))).alias("bucket"))
 
 
-_INV = """WITH p AS (SELECT floor_plan_id, source_json, extracted_at, density, adjacencies, inventory FROM plan_attributes),
-e AS (SELECT floor_plan_id, source_json, extracted_at, k.key AS label, k.value AS n FROM (SELECT floor_plan_id, source_json, extracted_at, unnest(map_entries(inventory)) AS k FROM p)),
+_INV = """WITH p AS (SELECT row_number() OVER () AS rid, floor_plan_id, source_json, extracted_at, density, adjacencies, inventory FROM plan_attributes),
+e AS (SELECT rid, floor_plan_id, source_json, extracted_at, k.key AS label, k.value AS n FROM (SELECT rid, floor_plan_id, source_json, extracted_at, unnest(map_entries(inventory)) AS k FROM p)),
 f AS (SELECT * FROM e WHERE lower(label) NOT LIKE '%text%' AND n > 0 AND label NOT IN ('wall', 'window', 'opening_symbol', 'dimension', 'single_door', 'axis', 'floor_decoration', 'hatch', 'installed_furniture', 'column', 'blind_window', 'dote', 'curtwall')),
-r AS (SELECT *, row_number() OVER (PARTITION BY floor_plan_id, source_json, extracted_at ORDER BY n DESC, label) AS rn FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n DESC, label) AS rn FROM f),
 w AS (SELECT *, CASE WHEN replace(label, '_', ' ') = 'bed' THEN 'bedroom' ELSE replace(label, '_', ' ') END AS noun FROM r WHERE rn <= 4),
 ph AS (SELECT *, n || ' ' || CASE WHEN noun = 'furniture' AND n = 1 THEN 'furniture item' WHEN noun = 'furniture' THEN 'furniture items' WHEN n = 1 THEN noun WHEN noun = 'axis' THEN 'axes'
   WHEN regexp_matches(lower(noun), '[^aeiou]y$') THEN substr(noun, 1, length(noun) - 1) || 'ies' WHEN regexp_matches(lower(noun), '(s|x|z|ch|sh)$') THEN noun || 'es' ELSE noun || 's' END AS phrase FROM w),
-t AS (SELECT floor_plan_id, source_json, extracted_at, list(phrase ORDER BY rn) AS parts FROM ph GROUP BY 1, 2, 3),
+t AS (SELECT rid, list(phrase ORDER BY rn) AS parts FROM ph GROUP BY 1),
 s AS (SELECT p.*, CASE WHEN parts IS NULL THEN 'key interior elements' WHEN len(parts) = 1 THEN parts[1] WHEN len(parts) = 2 THEN parts[1] || ' and ' || parts[2] ELSE array_to_string(parts[1:len(parts)-1], ', ') || ', and ' || parts[len(parts)] END AS items
-  FROM (SELECT DISTINCT floor_plan_id, source_json, extracted_at, density, adjacencies FROM p) p LEFT JOIN t USING (floor_plan_id, source_json, extracted_at))
+  FROM p LEFT JOIN t USING (rid))
 """
 
 
@@ -293,7 +293,7 @@ def top_inventory(s: SparkSession, d: str) -> DataFrame:
     return rows.select("floor_plan_id", "source_json", "at", F.col("x.label").alias("label"), (-F.col("x.minus_count")).alias("n"), (F.col("i") + 1).alias("rank"))
 
 
-@query(_INV + "SELECT floor_plan_id, source_json, epoch_us(extracted_at) AS at, items FROM s")
+@query(_INV + "SELECT floor_plan_id, source_json, epoch_us(extracted_at) AS at, items FROM (SELECT DISTINCT floor_plan_id, source_json, extracted_at, items FROM s)")
 def oxford_join(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "plan_attributes").select("floor_plan_id", "source_json", F.unix_micros("extracted_at").alias("at"), text.inventory_text("inventory").alias("items")).distinct()
 

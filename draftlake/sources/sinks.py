@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def contract_documents(elements: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """plan_id and one JSON document per plan, its nodes, edges and symbols in order."""
-    node = F.struct("id", "layer", "semantic_id", "instance_id", "semantic_label", "geometry_type", "content", "segments", F.struct("start", "end").alias("endpoints"), F.struct("length", "center", "bbox", "geometry_type_onehot", "radius", "rx", "ry").alias("features"), "raw_attributes")
-    ordered = lambda pos, item: F.transform(F.array_sort(F.collect_list(F.struct(pos, item.alias("item")))), lambda x: x["item"])
+    node = F.struct(
+        "id", "layer", "semantic_id", "instance_id", "semantic_label", "geometry_type", "content", "segments", F.struct("start", "end").alias("endpoints"),
+        F.struct("length", "center", "bbox", "geometry_type_onehot", "radius", "rx", "ry").alias("features"), "raw_attributes",
+    )
+
+    def ordered(pos: str, item: Column) -> Column:
+        # by position alone, as items hold maps, which have no order
+        by_position = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), item.alias("item"))), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+        return F.transform(by_position, lambda x: x["item"])
+
     nodes = elements.where("pos is not null").groupBy("plan_id").agg(F.first("filename").alias("filename"), F.first("viewbox").alias("viewbox"), ordered("pos", node.alias("item")).alias("nodes"))
     linked = edges.groupBy("plan_id").agg(ordered("pos", F.struct("source", "target", "relation", "distance")).alias("edges"))
     grouped = symbols.groupBy("plan_id").agg(ordered("symbol_id", F.struct("symbol_id", "semantic_id", "instance_id", "semantic_label", "node_ids", "node_count")).alias("symbols"))
