@@ -15,7 +15,7 @@ of their pairs, and all rows that meet there are compared, which also finds
 pairs no tree had seen.
 
 Only sketches (32 bytes) are shuffled per tree, and the vectors travel as
-16-bit grid values where they lie on such a grid (32-bit floats otherwise).
+8- or 16-bit grid values where they lie on such a grid (32-bit floats otherwise).
 Rows with exactly equal vectors are one representative in the forest, so a
 vector that a third of all rows share does not make a leaf of that size; they
 get back their own copies as partners afterwards, at most k each.
@@ -39,13 +39,16 @@ from draftlake.common import checkpoint, shuffle_partitions
 
 DIM = 256
 SKETCH_BITS = 256
-TREES = 8
+TREES = 6
 #: A prefix with more rows is extended by the next digit, up to DEPTH digits.
 LEAF_ROWS = 6000
 DEPTH = 3
 #: Standard deviations of the sketch's estimate by which a candidate may seem less similar than wanted.
 SLACK = 2.3
 GRID = 512.0
+#: Rows on which the prefixes to extend are found, and up to which a list of row numbers may be broadcast.
+FIT_ROWS = 50_000
+SMALL_ROWS = 1_000_000
 
 
 def usable(vectors: DataFrame, row: str = "row_no", embedding: str = "embedding", dim: int = DIM) -> DataFrame:
@@ -65,18 +68,21 @@ def _rotation(seed: int, dim: int) -> np.ndarray:
 
 
 def _pack(m: np.ndarray) -> list[bytes]:
-    """Rows as 16-bit grid values if all of them lie on the grid, else as 32-bit floats."""
+    """Rows as 8- or 16-bit grid values if all of a row lie on the grid, else as 32-bit floats."""
     scaled = m * GRID
     whole = np.rint(scaled)
-    on_grid = (np.abs(scaled - whole).max(axis=1) == 0) & (np.abs(whole).max(axis=1) < 32767)
-    small = whole.astype(np.int16)
-    return [small[i].tobytes() if on_grid[i] else m[i].tobytes() for i in range(len(m))]
+    on_grid = np.abs(scaled - whole).max(axis=1) == 0
+    most = np.abs(whole).max(axis=1)
+    bits = np.where(~on_grid | (most > 32767), 32, np.where(most > 127, 16, 8))
+    forms = {8: np.clip(whole, -127, 127).astype(np.int8), 16: np.clip(whole, -32767, 32767).astype(np.int16), 32: m}
+    return [forms[b][i].tobytes() for i, b in enumerate(bits.tolist())]
 
 
 def _unpack(blobs: list[bytes], dim: int) -> np.ndarray:
+    kinds = {dim: np.int8, 2 * dim: np.int16, 4 * dim: np.float32}
     out = np.empty((len(blobs), dim), dtype=np.float64)
     for i, b in enumerate(blobs):
-        out[i] = np.frombuffer(b, dtype=np.int16 if len(b) == 2 * dim else np.float32)
+        out[i] = np.frombuffer(b, dtype=kinds[len(b)])
     return out
 
 
@@ -95,54 +101,66 @@ def packed_rows(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return usable(vectors, dim=dim).mapInArrow(pack, "row_no long, v binary")
 
 
-def hash_strings(packed: DataFrame, trees: int = TREES, depth: int = DEPTH, dim: int = DIM) -> DataFrame:
-    """tree, d1..d{depth}, row_no, sketch: one hash string per tree and row."""
+def _digits(m: np.ndarray, rotation: np.ndarray, depth: int) -> np.ndarray:
+    """The first ``depth`` digits of every row's hash string: its furthest signed axes after the rotation."""
+    p = m @ rotation
+    far = np.argpartition(np.abs(p), -depth, axis=1)[:, -depth:]
+    size = np.take_along_axis(np.abs(p), far, axis=1)
+    far = np.take_along_axis(far, np.argsort(-size, axis=1, kind="stable"), axis=1)
+    return 2 * far + (np.take_along_axis(p, far, axis=1) > 0)
+
+
+def _prefixes(digits: np.ndarray) -> list[np.ndarray]:
+    """Codes of the prefixes of one, two, ... digits."""
+    codes = [digits[:, 0].astype(np.int64)]
+    for k in range(1, digits.shape[1]):
+        codes.append(codes[-1] * 1024 + digits[:, k] + (1 << 20))
+    return codes
+
+
+def crowded_prefixes(packed: DataFrame, n_rows: int, trees: int = TREES, depth: int = DEPTH, leaf_rows: int = LEAF_ROWS, dim: int = DIM) -> set[tuple[int, int]]:
+    """(tree, prefix) of the prefixes that hold more than ``leaf_rows`` rows, fitted on about FIT_ROWS of them.
+
+    At most trees x depth x rows / leaf_rows prefixes are crowded; they are counted in
+    Spark and only those reach the driver. The sample decides how far strings are
+    descended, not which rows are indexed.
+    """
+    every = max(1, n_rows // FIT_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotations = [_rotation(17 + t, dim) for t in range(trees)]
+        for b in batches:
+            if b.num_rows:
+                m = _unit(_unpack(b.column(0).to_pylist(), dim)).astype(np.float32)
+                for t, r in enumerate(rotations):
+                    for code in _prefixes(_digits(m, r, depth))[:-1]:
+                        yield pa.record_batch({"tree": pa.array(np.full(len(code), t, np.int32)), "prefix": pa.array(code)})
+
+    sample = packed.where(F.pmod(F.xxhash64("row_no"), F.lit(every)) == 0).select("v")
+    counts = sample.mapInArrow(run, "tree int, prefix long").groupBy("tree", "prefix").count()
+    return {(r.tree, r.prefix) for r in counts.where(F.col("count") * every > leaf_rows).collect()}
+
+
+def leaves(packed: DataFrame, crowded: set[tuple[int, int]], trees: int = TREES, depth: int = DEPTH, dim: int = DIM) -> DataFrame:
+    """leaf, row_no, sketch: per tree the longest prefix of each row's hash string that it takes to leave crowded ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = _rotation(99_991, dim)
         rotations = [_rotation(17 + t, dim) for t in range(trees)]
+        full = [np.array(sorted(p for k, p in crowded if k == t), dtype=np.int64) for t in range(trees)]
         for b in batches:
             if not b.num_rows:
                 continue
             m = _unit(_unpack(b.column(1).to_pylist(), dim)).astype(np.float32)
-            rows = b.column(0)
             sketch = pa.array([x.tobytes() for x in np.packbits(m @ planes[:, :SKETCH_BITS] > 0, axis=1)], pa.binary())
             for t, r in enumerate(rotations):
-                p = m @ r
-                far = np.argpartition(np.abs(p), -depth, axis=1)[:, -depth:]
-                size = np.take_along_axis(np.abs(p), far, axis=1)
-                far = np.take_along_axis(far, np.argsort(-size, axis=1, kind="stable"), axis=1)
-                digit = (2 * far + (np.take_along_axis(p, far, axis=1) > 0)).astype(np.int32)
-                yield pa.record_batch(
-                    {"tree": pa.array(np.full(b.num_rows, t, np.int32))}
-                    | {f"d{k + 1}": pa.array(np.ascontiguousarray(digit[:, k])) for k in range(depth)}
-                    | {"row_no": rows, "sketch": sketch}
-                )
-
-    digits = ", ".join(f"d{k + 1} int" for k in range(depth))
-    return packed.mapInArrow(run, f"tree int, {digits}, row_no long, sketch binary")
-
-
-def leaves(strings: DataFrame, leaf_rows: int = LEAF_ROWS, depth: int = DEPTH) -> DataFrame:
-    """leaf, row_no, sketch: the longest prefix of each string that is needed to hold at most ``leaf_rows`` rows.
-
-    The populations of the first digit are at most trees x 2 x dim rows and the
-    deeper ones are counted only below crowded prefixes, so they are joined back
-    as a small table; nothing but the counts is aggregated.
-    """
-    current = strings.withColumn("leaf", F.col("d1").cast("long"))
-    crowded = strings.groupBy("tree", F.col("d1").cast("long").alias("leaf")).count().where(F.col("count") > leaf_rows).select("tree", "leaf", F.lit(1).alias("more"))
-    for k in range(2, depth + 1):
-        current = (
-            current.join(F.broadcast(crowded), ["tree", "leaf"], "left")
-            .withColumn("leaf", F.when(F.col("more").isNull(), F.col("leaf")).otherwise(F.col("leaf") * 1024 + F.col(f"d{k}") + 1024 * 1024))
-            .drop("more")
-        )
-        if k == depth:
-            break
-        # prefixes of k digits that are still crowded; a row in 2 x dim of each parent, bounded by rows / leaf_rows
-        crowded = current.groupBy("tree", "leaf").count().where((F.col("count") > leaf_rows) & (F.col("leaf") >= 1024 * 1024)).select("tree", "leaf", F.lit(1).alias("more"))
-    return current.select((F.col("tree").cast("long") * F.lit(1 << 50) + F.col("leaf")).alias("leaf"), "row_no", "sketch")
+                codes = _prefixes(_digits(m, r, depth))
+                leaf = codes[0]
+                for k in range(1, depth):
+                    leaf = np.where(np.isin(leaf, full[t]) & (leaf == codes[k - 1]), codes[k], leaf)
+                yield pa.record_batch({"leaf": pa.array(leaf + (np.int64(t) << 50)), "row_no": b.column(0), "sketch": sketch})
+
+    return packed.select("row_no", "v").mapInArrow(run, "leaf long, row_no long, sketch binary")
 
 
 def candidate_pairs(strings_in_leaves: DataFrame, cosine: float, n_partitions: int, block: int = 4096) -> DataFrame:
@@ -240,13 +258,16 @@ def similar_rows(vectors: DataFrame, cosine: float = 0.75, k: int = 10, trees: i
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
     packed = checkpoint(packed_rows(vectors, dim))
-    same = packed.groupBy(F.xxhash64("v").alias("h"), F.md5("v").alias("m")).agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = (
-        packed.select("row_no", F.xxhash64("v").alias("h"), F.md5("v").alias("m")).join(same, ["h", "m"]).select("row_no", "rep")
-    )
-    copies = checkpoint(copies)
-    single = packed.join(copies.where("row_no <> rep").select("row_no"), "row_no", "left_anti")
-    pairs = checkpoint(candidate_pairs(leaves(hash_strings(single, trees, dim=dim)), cosine, 2 * n))
+    key = (F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("m"))
+    classes = packed.select("row_no", *key).groupBy("h", "m").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    same = classes.where("copies > 1")
+    copies = checkpoint(packed.select("row_no", *key).join(same, ["h", "m"]).select("row_no", "rep"))
+    doubles = copies.where("row_no <> rep").select("row_no")
+    if doubles.count() <= SMALL_ROWS:  # 8 MB at most; more of them are joined by a shuffle
+        doubles = F.broadcast(doubles)
+    single = packed.join(doubles, "row_no", "left_anti")
+    crowded = crowded_prefixes(single, packed.count(), trees, dim=dim)
+    pairs = checkpoint(candidate_pairs(leaves(single, crowded, trees, dim=dim), cosine, 2 * n))
     scored = verified_pairs(pairs, packed, cosine, 2 * n, dim)
     return _with_copies(scored, copies, k)
 
