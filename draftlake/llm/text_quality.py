@@ -47,7 +47,9 @@ _LEADER = re.compile(r"(?:\.{3,}|…|_{3,}|·{3,})\s*\d*\s*$")
 _NUMBER = re.compile(r"[-+]?\d[\d.,:/%°²³xX-]*")
 _MARKUP = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};")
 _QUOTES = str.maketrans("", "", "“”„\"«»'‘’()[]")
+_INSIDE = re.compile(r"\w[!|{}~^$]\w")
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûëïœæ]")
+_MARKS = frozenset("/ | ; , • · - – — & +".split())
 _NONE = re.compile(r"(?i)\bn/a\b")
 _COLUMNS = re.compile(r"\S\s{3,}\S")
 _PATH = re.compile(r"[MmLlHhVvAaCcQqSsTtZz]?-?\d[\d.,-]*|[MmLlHhVvAaCcQqSsTtZz]")
@@ -78,6 +80,8 @@ def _judge(t: str) -> bool:
         return False
     if _NUMBER.fullmatch(w):
         return True
+    if ";;" in w or _INSIDE.search(w):
+        return False
     letters = _WORD.findall(w)
     joined = "".join(letters)
     if not joined or len(joined) < 0.8 * len(w) - 1 or any(c.isdigit() for c in w):
@@ -117,8 +121,8 @@ def composition(text: str) -> dict[str, float]:
     for cells, x in marked:
         n = len(x.strip())
         bullet = bool(_BULLET.match(x))
-        body = _NONE.sub("-", _BULLET.sub("", x) if bullet else x)
-        tokens = body.split()
+        body = _NONE.sub("0", _BULLET.sub("", x) if bullet else x)
+        tokens = [t for t in body.split() if t not in _MARKS]
         words = _WORD.findall(body.lower())
         common = sum(w in _ALL_COMMON for w in words)
         wordlike = sum(map(_wordlike, tokens))
@@ -127,11 +131,11 @@ def composition(text: str) -> dict[str, float]:
         in_columns = cells[0] >= 2 and regular[cells] >= 2 and (cells[1] not in ";," or (cells[0] >= 3 and regular[cells] >= 3) or regular[cells] >= 4)
         if odd > 0.15 * n or (len(tokens) >= 4 and sum(any(c.isdigit() for c in t) for t in tokens) > 0.3 * len(tokens) and sum(bool(_HEX.fullmatch(t)) for t in tokens) > 0.5 * len(tokens) and any(c.isalpha() for c in body)):
             what = "junk"
-        elif not sentence and len(tokens) >= 4 and any(c.isalpha() for c in body) and all(_PATH.fullmatch(t) for t in tokens):
+        elif len(tokens) >= 4 and any(c.isalpha() for c in body) and all(_PATH.fullmatch(t) for t in tokens):
             what = "junk"
         elif words and len(words) <= 8 and _LEADER.search(x):
             what = "list"
-        elif len(tokens) >= 2 and all(t == "-" or _NUMBER.fullmatch(t) for t in tokens) and len(lines) > 1:
+        elif len(tokens) >= 2 and all(_NUMBER.fullmatch(t) for t in tokens) and len(lines) > 1:
             what = "table"
         elif cells[1] == "|" and not any(c.isalnum() for c in x):
             what = "table"
