@@ -13,6 +13,49 @@ from pyspark.sql.window import Window
 from draftlake.functions import text, vectors
 
 QUERY_BLOCK = 8_192
+#: Scores computed at once (16 MB of doubles), and candidates kept before they are cut to k per query.
+CELLS = 2_000_000
+
+
+class BestOf:
+    """The k best rows of every query over any number of score blocks; ties go to the smaller row."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.least = np.full(n_queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, scores: np.ndarray, rows: np.ndarray) -> None:
+        """Scores of queries x rows; -inf is no candidate."""
+        q, r = np.nonzero((scores >= self.least[:, None]) & (scores > -np.inf))
+        if len(q):
+            self.held.append((q, rows[r], scores[q, r]))
+            self.waiting += len(q)
+            if self.waiting > CELLS:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score), at most k of each query, best first."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, r, s = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((r, -s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.concatenate([[0], np.nonzero(np.diff(q))[0] + 1])
+        nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        last = nth == self.k - 1
+        self.least[q[last]] = s[last]
+        keep = nth < self.k
+        q, r, s = q[keep], r[keep], s[keep]
+        self.held, self.waiting = [(q, r, s)], 0
+        return q, r, s
+
+
+def row_slices(n_queries: int, n_rows: int) -> Iterator[slice]:
+    """Slices of rows whose scores against all queries fit CELLS."""
+    step = max(1, CELLS // max(1, n_queries))
+    return (slice(i, i + step) for i in range(0, n_rows, step))
 
 
 def search_one(index: DataFrame, query: list[float], top_k: int = 10, normalise: bool = True, row: str = "row") -> DataFrame:
@@ -57,20 +100,16 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 10, digits: int = 6, dr
 
         def run(batches: Iterator[pd.DataFrame], spread=spread) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             ids, q = spread.value
-            best, who = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+            best = BestOf(len(ids), k)
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                row = pdf["row"].to_numpy()
-                score = np.round(q @ np.stack(pdf["embedding"].to_numpy()).T, digits)
-                if drop_self:
-                    score[ids[:, None] == row[None, :]] = -np.inf
-                best, who = np.concatenate([best, score], axis=1), np.concatenate([who, np.broadcast_to(row, score.shape)], axis=1)
-                order = np.lexsort((who, -best), axis=1)[:, :k]
-                best, who = np.take_along_axis(best, order, axis=1), np.take_along_axis(who, order, axis=1)
-            width = best.shape[1]
-            out = pd.DataFrame({"query_id": np.repeat(ids, width), "row": who.ravel(), "score": best.ravel()})
-            yield out[np.isfinite(out["score"])]
+                for part in row_slices(len(ids), len(pdf)):
+                    row = pdf["row"].to_numpy()[part]
+                    score = np.round(q @ np.stack(pdf["embedding"].to_numpy()[part]).T, digits)
+                    if drop_self:
+                        score[ids[:, None] == row[None, :]] = -np.inf
+                    best.add(score, row)
+            at, row, score = best.cut()
+            yield pd.DataFrame({"query_id": ids[at], "row": row, "score": score})
 
         part = index.select(F.col("row").cast("long").alias("row"), vectors.as_double(F.col("embedding")).alias("embedding")).mapInPandas(run, "query_id long, row long, score double")
         parts = part if parts is None else parts.unionByName(part)
@@ -80,6 +119,42 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 10, digits: int = 6, dr
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def rank_of(queries: DataFrame, index: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, rank (from 1) of each query's right row among all: one more than the rows that are better.
+
+    queries(query_id, embedding, right_row). A task counts per query, so no ranking of
+    all pairs is built.
+    """
+    spark = queries.sparkSession
+    right = index.select(F.col("row").alias("right_row"), vectors.as_double(F.col("embedding")).alias("r"))
+    held = queries.select("query_id", "right_row", vectors.as_double(F.col("embedding")).alias("q")).join(right, "right_row")
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = None
+    for block in range(n_blocks):
+        rows = held.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).collect()  # about QUERY_BLOCK rows
+        if not rows:
+            continue
+        q = np.array([r.q for r in rows])
+        own = np.round((q * np.array([r.r for r in rows])).sum(axis=1), digits)
+        spread = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.right_row for r in rows]), q, own))
+
+        def run(batches: Iterator[pd.DataFrame], spread=spread) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            ids, right_rows, q, own = spread.value
+            better = np.zeros(len(ids), dtype=np.int64)
+            for pdf in batches:
+                for part in row_slices(len(ids), len(pdf)):
+                    row = pdf["row"].to_numpy()[part]
+                    score = np.round(q @ np.stack(pdf["embedding"].to_numpy()[part]).T, digits)
+                    better += ((score > own[:, None]) | ((score == own[:, None]) & (row[None, :] < right_rows[:, None]))).sum(axis=1)
+            yield pd.DataFrame({"query_id": ids, "better": better})
+
+        one = index.select(F.col("row").cast("long").alias("row"), vectors.as_double(F.col("embedding")).alias("embedding")).mapInPandas(run, "query_id long, better long")
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return spark.createDataFrame([], "query_id long, rank long")
+    return parts.groupBy("query_id").agg((F.sum("better") + 1).alias("rank"))
+
+
 def by_plan(index: DataFrame, plans: DataFrame) -> DataFrame:
     """requested id, row and vector of plans named with or without ``.svg``; of a plan with several rows the last counts."""
     last = index.groupBy(text.strip_svg("floor_plan_id").alias("key")).agg(F.max("row_no").alias("row_no"), F.max_by("embedding", "row_no").alias("embedding"))

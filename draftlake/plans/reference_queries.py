@@ -540,8 +540,7 @@ def _ranks(s: SparkSession, d: str) -> DataFrame:
     """Rank of one right item (the next vector) among all, for every query: one plus the better ones."""
     index = _index(s, d)
     n = index.count()
-    every = search.top_k(index.where("row % 20 = 0").select(F.col("row").alias("query_id"), "embedding"), index, n, drop_self=False)
-    return every.where(F.col("row") == (F.col("query_id") + 1) % n).select("query_id", "rank")
+    return search.rank_of(index.where("row % 20 = 0").select(F.col("row").alias("query_id"), "embedding", ((F.col("row") + 1) % n).alias("right_row")), index)
 
 
 @query(_R + "SELECT " + ", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 2) AS r_at_{k}" for k in (1, 5, 10)) + ", round(100 * avg(1.0::DOUBLE / rank), 2) AS mrr, round(quantile_disc(rank, 0.5)::DOUBLE, 1) AS median_rank FROM r")
