@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from draftlake.common import checkpoint, shuffle_partitions
+from draftlake.operators.search import BestOf, row_slices
 
 DIM = 256
 SKETCH_BITS = 256
@@ -308,30 +309,21 @@ def block_topk(vectors: DataFrame, modulus: int = 20, k: int = 10, dim: int = DI
         spread = spark.sparkContext.broadcast((np.array([r.row_no for r in chosen], dtype=np.int64), [bytes(r.v) for r in chosen]))
 
         def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, blobs = spread.value
+            ids, asked_for = spread.value
             if not len(ids):
                 return
-            q = _unpack(blobs, dim)
+            q = _unpack(asked_for, dim)
             q_squares = (q * q).sum(axis=1)
-            best = np.full((len(ids), 0), -2.0)
-            who = np.zeros((len(ids), 0), dtype=np.int64)
+            best = BestOf(len(ids), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = batch.column(0).to_numpy()
-                m = _unpack(batch.column(1).to_pylist(), dim)
-                score = (q @ m.T) / np.sqrt(np.outer(q_squares, (m * m).sum(axis=1)))
-                score[ids[:, None] == rows[None, :]] = -2.0
-                best = np.concatenate([best, score], axis=1)
-                who = np.concatenate([who, np.broadcast_to(rows, score.shape)], axis=1)
-                if best.shape[1] > k:
-                    order = np.lexsort((who, -best), axis=1)[:, :k]
-                    best, who = np.take_along_axis(best, order, axis=1), np.take_along_axis(who, order, axis=1)
-            for i in range(0, len(ids), 4096):
-                a = np.repeat(ids[i : i + 4096], best.shape[1])
-                b, s = who[i : i + 4096].ravel(), best[i : i + 4096].ravel()
-                keep = s > -2.0
-                yield pa.record_batch({"a": pa.array(a[keep]), "b": pa.array(b[keep]), "score": pa.array(s[keep])})
+                rows, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for part in row_slices(len(ids), len(rows)):
+                    m = _unpack(blobs[part], dim)
+                    score = (q @ m.T) / np.sqrt(np.outer(q_squares, (m * m).sum(axis=1)))
+                    score[ids[:, None] == rows[part][None, :]] = -np.inf
+                    best.add(score, rows[part])
+            at, b, score = best.cut()
+            yield pa.record_batch({"a": pa.array(ids[at]), "b": pa.array(b), "score": pa.array(score)})
 
         part = packed.mapInArrow(run, "a long, b long, score double")
         parts = part if parts is None else parts.unionByName(part)
