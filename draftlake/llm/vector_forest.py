@@ -45,7 +45,7 @@ TREES = 6
 LEAF_ROWS = 6000
 DEPTH = 3
 #: Standard deviations of the sketch's estimate by which a candidate may seem less similar than wanted.
-SLACK = 2.3
+SLACK = 1.8
 GRID = 512.0
 #: Rows on which the prefixes to extend are found, and up to which a list of row numbers may be broadcast.
 FIT_ROWS = 50_000
