@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.common import shuffle_partitions
+
 MAX_ENTRIES = 20_000
 ACCEPT = 0.62
 #: Decorations around a layer's name that say nothing about what it holds.
@@ -100,6 +102,8 @@ def token_similarity(t: str, w: str) -> float:
     best = 0.0
     if d <= most and (t[0] == w[0] or d <= 1 or n >= 7):
         best = 1.0 - (0.12 if n > 3 else 0.3) * d - (0.04 if t[0] != w[0] else 0.0)
+    elif n == 5 and len(t) > 3 and edit_distance(t, w, 2) == 2:
+        best = 0.6  # too little for a word alone (ACCEPT), enough beside words that match
     if len(t) >= 3 and w.startswith(t):
         best = max(best, 0.7 + 0.25 * len(t) / len(w))
     for u in (t, t[:-1] if t.endswith("s") else t):
@@ -211,12 +215,13 @@ def map_values(values: DataFrame, canonical: DataFrame, value: str = "value", ke
                 scores.append(round(s, 6))
             yield pd.DataFrame({"value": pdf["value"], key: keys, "score": scores})
 
-    distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct()
+    n = shuffle_partitions(spark)  # stated, so that few distinct values still use all cores
+    distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().repartition(n, "value")
     tokens = distinct.mapInPandas(cut, "value string, tokens array<string>")
-    repaired = tokens.select(F.explode("tokens").alias("token")).distinct().mapInPandas(repair, "token string, words array<string>, scores array<double>")
+    repaired = tokens.select(F.explode("tokens").alias("token")).distinct().repartition(n, "token").mapInPandas(repair, "token string, words array<string>, scores array<double>")
     each = tokens.select("value", "tokens", F.explode_outer(F.array_distinct("tokens")).alias("token")).join(repaired, "token", "left")
     per_value = each.groupBy("value").agg(F.first("tokens").alias("tokens"), F.collect_list(F.when(F.size("words") > 0, F.struct("token", "words", "scores"))).alias("repairs"))
-    return per_value.mapInPandas(choose, f"value string, {key} int, score double")
+    return per_value.repartition(n, "value").mapInPandas(choose, f"value string, {key} int, score double")
 
 
 def typed_values(contracts: DataFrame) -> DataFrame:
