@@ -127,7 +127,7 @@ def composition(text: str) -> dict[str, float]:
         common = sum(w in _ALL_COMMON for w in words)
         wordlike = sum(map(_wordlike, tokens))
         odd = len(_ODD.findall(x)) + (sum(len(m) for m in _MARKUP.findall(x)) if "<" in x or "&" in x else 0)
-        sentence = len(words) >= 4 and common >= 0.2 * len(words) and wordlike >= 0.75 * len(tokens) and odd < 0.1 * n
+        sentence = len(words) >= 4 and common >= 0.2 * len(words) and (common >= 2 or len(words) >= 6) and wordlike >= 0.75 * len(tokens) and odd < 0.1 * n
         in_columns = cells[0] >= 2 and regular[cells] >= 2 and (cells[1] not in ";," or (cells[0] >= 3 and regular[cells] >= 3) or regular[cells] >= 4)
         if odd > 0.15 * n or (len(tokens) >= 4 and sum(any(c.isdigit() for c in t) for t in tokens) > 0.3 * len(tokens) and sum(bool(_HEX.fullmatch(t)) for t in tokens) > 0.5 * len(tokens) and any(c.isalpha() for c in body)):
             what = "junk"
