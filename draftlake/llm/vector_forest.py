@@ -40,7 +40,7 @@ from draftlake.operators.search import BestOf, row_slices
 
 DIM = 256
 SKETCH_BITS = 256
-TREES = 6
+TREES = 7
 #: A prefix with more rows is extended by the next digit, up to DEPTH digits.
 LEAF_ROWS = 6000
 DEPTH = 3
