@@ -215,13 +215,14 @@ def map_values(values: DataFrame, canonical: DataFrame, value: str = "value", ke
                 scores.append(round(s, 6))
             yield pd.DataFrame({"value": pdf["value"], key: keys, "score": scores})
 
-    n = shuffle_partitions(spark)  # stated, so that few distinct values still use all cores
-    distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().repartition(n, "value")
+    # stated, so that few distinct values still use all cores; by a hash, as a repetition of the same key would be optimised away
+    n = shuffle_partitions(spark)
+    distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().repartition(n, F.xxhash64("value"))
     tokens = distinct.mapInPandas(cut, "value string, tokens array<string>")
-    repaired = tokens.select(F.explode("tokens").alias("token")).distinct().repartition(n, "token").mapInPandas(repair, "token string, words array<string>, scores array<double>")
+    repaired = tokens.select(F.explode("tokens").alias("token")).distinct().repartition(n, F.xxhash64("token")).mapInPandas(repair, "token string, words array<string>, scores array<double>")
     each = tokens.select("value", "tokens", F.explode_outer(F.array_distinct("tokens")).alias("token")).join(repaired, "token", "left")
     per_value = each.groupBy("value").agg(F.first("tokens").alias("tokens"), F.collect_list(F.when(F.size("words") > 0, F.struct("token", "words", "scores"))).alias("repairs"))
-    return per_value.repartition(n, "value").mapInPandas(choose, f"value string, {key} int, score double")
+    return per_value.repartition(n, F.xxhash64("value")).mapInPandas(choose, f"value string, {key} int, score double")
 
 
 def typed_values(contracts: DataFrame) -> DataFrame:

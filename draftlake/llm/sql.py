@@ -32,6 +32,16 @@ m AS (SELECT field_name, term, occurrences, records, round(records / total, 6) A
   CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.4 * total THEN 'common' END AS mark FROM c, total)
 """
 
+_TOPK = """
+WITH v AS (
+  SELECT row_no, embedding::DOUBLE[] AS e FROM plan_embeddings
+  WHERE len(embedding) = 256 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT *, list_dot_product(e, e) AS q FROM v),
+p AS (SELECT a.row_no, b.row_no AS similar_row, list_dot_product(a.e, b.e) / sqrt(a.q * b.q) AS score FROM s a JOIN s b ON a.row_no <> b.row_no WHERE a.row_no % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, similar_row) AS rank FROM p)
+SELECT row_no, CAST(rank AS INT) AS rank, similar_row, round(score, 4) AS score FROM r WHERE rank <= 10
+"""
+
 _NEEDS = """
 WITH e AS (SELECT pair_id, min(scale_bucket) AS scale_bucket FROM pairs WHERE scale_bucket BETWEEN 0 AND 3 GROUP BY pair_id),
 a AS (SELECT scale_bucket, count(*) AS available FROM e GROUP BY 1),
@@ -41,6 +51,7 @@ t AS (SELECT s.*, greatest(min_rows, CAST(ceil((SELECT count(*) FROM e) * sample
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_topk_queries": _TOPK,
         "p3_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_term_counts": _TERMS + "SELECT * FROM m",
         "p5_found": _ITEMS + "SELECT item_a, item_b FROM scored WHERE n_ab * n >= 3 * n_a * n_b",
