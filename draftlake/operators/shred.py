@@ -14,7 +14,7 @@ table itself is never shuffled. Only the wanted paths are read and shredded.
 
 Edge cases: null objects and arrays have no rows; null array elements are kept as
 nodes without children, null scalars in arrays as null; ids may be typed loosely
-(``n00007``, ``N7``, ``7``, ``7.0``); unreadable documents have no rows; of a
+(``n00007``, ``N7``, ``7``, ``7.0``); unreadable documents and rows without an id have no rows; of a
 repeated record the latest readable one counts; extra columns are ignored.
 """
 
@@ -145,7 +145,7 @@ def adjacency_of_json(raw: DataFrame, record_id: str, body: str, order: str, pat
                 rows.append(None if contract is None else shred_value(contract, paths, _ENTITIES))
             yield pd.DataFrame({"record_id": pdf["record_id"], "at": pdf["at"], "readable": [r is not None for r in rows], "adjacency": [r or [] for r in rows]})
 
-    kept = raw.select(F.col(record_id).alias("record_id"), F.unix_micros(order).alias("at"), F.col(body).alias("body"))
+    kept = raw.where(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.unix_micros(order).alias("at"), F.col(body).alias("body"))
     return kept.mapInPandas(run, f"record_id long, at long, readable boolean, adjacency {ADJACENCY}")
 
 
@@ -169,7 +169,7 @@ def contract_adjacency(contracts: DataFrame, raw: DataFrame | None, paths: tuple
     """record_id, adjacency per source; each partitioned by record_id with every record once."""
     columns = [c for c in ("metadata", "nodes", "edges", "symbols") if _wanted(c, paths)]
     kinds = {f.name: f.dataType for f in contracts.schema.fields}
-    slim = contracts.select(
+    slim = contracts.where("contract_id is not null").select(
         "contract_id", F.col("_corrupt_record").isNull().alias("readable"), F.unix_micros("ingested_at").alias("at"), *(_narrow(F.col(c), kinds[c], c, paths).alias(c) for c in columns)
     )
     once = latest(slim, "contract_id", F.desc("readable"), F.desc("at"))

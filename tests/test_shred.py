@@ -38,6 +38,7 @@ def test_dangling_references(spark):
             (1, [node("n00001"), node("n00002")], [edge("N1", " 2 "), edge("n3", None), edge("n0000002", "x")], [symbol("1", "n00009", None)], None, 2),
             (2, None, None, None, "bad", 1),
             (3, [], [edge("", "n1")], [], None, 1),
+            (None, [], [edge("", "n1")], [], None, 1),
         ],
     )
     assert found(shred.contract_adjacency(df, None, shred.LINK_PATHS)) == [
@@ -52,7 +53,7 @@ def test_json_layouts(spark):
         (11, json.dumps({"version": 2, "contract": {"nodes": nodes, "edges": {"source": "n9", "target": "n1"}}})),
         (12, json.dumps({"graph": {"nodes": nodes, "edges": None}, "symbols": [{"node_ids": [1, None]}, {"node_ids": None}]})),
         (13, "<svg/>"), (14, None), (15, "[1, 2]"), (16, '{"nodes": ['), (17, "{}"),
-        (10, "broken later"),
+        (10, "broken later"), (None, "{}"),
     ]
     parts = shred.contract_adjacency(contract(spark, []), raw(spark, bodies), shred.LINK_PATHS)
     assert found(parts) == [(10, "source", 1, "7"), (10, "target", 1, ""), (11, "source", 0, "n9"), (12, "symbol", 0, "")]
