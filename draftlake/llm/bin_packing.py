@@ -13,7 +13,7 @@ Scale. A group holds about ``group_items`` items whatever the corpus size; the
 hash spreads equal sizes and sources evenly, so there is no hot group. The
 search in a group is bounded by its underfull bins times the fullest of them. Nothing is collected.
 
-Edge cases: null and blank texts and sizes of zero need no container; ties in
+Edge cases: null and blank texts and sizes of zero need no container; rows without an id can't be placed; ties in
 size are packed in the order of ids; a repeated id is packed as often as it
 occurs; empty input gives no container.
 """
@@ -162,7 +162,7 @@ def packed_items(sizes: DataFrame, capacity: int = CAPACITY, group_items: int =
     n = shuffle_partitions(sizes.sparkSession)
     pieces = F.ceil(F.col("n_tokens") / F.lit(float(capacity))).cast("int")
     cut = checkpoint(
-        sizes.where("n_tokens > 0")
+        sizes.where("n_tokens > 0 and doc_id is not null")
         .select("doc_id", "n_tokens", pieces.alias("n_pieces"))
         .select("doc_id", "n_tokens", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
         .select("doc_id", "piece", "n_pieces", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("long").alias("size"))

@@ -25,7 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,14 +202,15 @@ def statistics(text: str, lang: str | None) -> dict[str, float]:
 _SHAPE = "doc_id long, lang string, n_words double, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, prose_share double, list_share double, table_share double, junk_share double, own_kind string"
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [x.split()[0] for x in _SHAPE.split(", ")]
-    for pdf in batches:
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shares = ("prose_share", "list_share", "table_share", "junk_share")
+    for b in batches:
         rows = []
-        for i, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True):
+        for lang, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             c = composition(text)
-            rows.append({"doc_id": i, "lang": lang, **statistics(text, lang), **{k: c[k] for k in ("prose_share", "list_share", "table_share", "junk_share")}, "own_kind": kind_of(text, c)})
-        yield pd.DataFrame(rows, columns=columns)
+            rows.append(statistics(text, lang) | {k: c[k] for k in shares} | {"own_kind": kind_of(text, c)})
+        numbers = {k: pa.array([float(r[k]) for r in rows], pa.float64()) for k in ("n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", *shares)}
+        yield pa.record_batch({"doc_id": b.column(0), "lang": b.column(1), **numbers, "own_kind": pa.array([r["own_kind"] for r in rows], pa.string())})
 
 
 def normal_language(c: Column | str) -> Column:
@@ -221,7 +222,7 @@ def normal_language(c: Column | str) -> Column:
 def text_statistics(documents: DataFrame) -> DataFrame:
     """doc_id, lang and the statistics of every text that is not null or blank."""
     held = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    return held.select("doc_id", normal_language("lang").alias("lang"), "text").mapInPandas(_describe, _SHAPE)
+    return held.select(F.col("doc_id").cast("long").alias("doc_id"), normal_language("lang").alias("lang"), "text").mapInArrow(_describe, _SHAPE)
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import sys
 import types
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +41,9 @@ def count_tokens(texts: list[str | None], path: str = DEFAULT_PATH) -> list[int]
 def token_sizes(documents: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
     """doc_id, source, n_tokens of every row; whole texts are encoded where they are read, nothing is shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": count_tokens(pdf["text"].tolist(), path)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"doc_id": b.column(0), "source": b.column(1), "n_tokens": pa.array(count_tokens(b.column(2).to_pylist(), path), pa.int64())})
 
     source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string").alias("source")
-    return documents.select("doc_id", source, "text").mapInPandas(run, "doc_id long, source string, n_tokens long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source, "text").mapInArrow(run, "doc_id long, source string, n_tokens long")

@@ -20,7 +20,7 @@ Rows with exactly equal vectors are one representative in the forest, so a
 vector that a third of all rows share does not make a leaf of that size; they
 get back their own copies as partners afterwards, at most k each.
 
-Edge cases: null, wrong-length, non-finite and all-zero vectors take no part;
+Edge cases: rows without a number, null, wrong-length, non-finite and all-zero vectors take no part;
 ties go to the smaller row number; fewer than two usable rows give no pairs.
 """
 
@@ -56,7 +56,7 @@ def usable(vectors: DataFrame, row: str = "row_no", embedding: str = "embedding"
     """row_no, embedding of the rows with ``dim`` finite entries, not all zero."""
     e = F.col(embedding)
     good = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    return vectors.where(e.isNotNull() & (F.size(e) == dim) & F.coalesce(good, F.lit(False))).select(F.col(row).cast("long").alias("row_no"), e.alias("embedding"))
+    return vectors.where(F.col(row).isNotNull() & e.isNotNull() & (F.size(e) == dim) & F.coalesce(good, F.lit(False))).select(F.col(row).cast("long").alias("row_no"), e.alias("embedding"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -19,8 +19,9 @@ def docs(spark, rows):
 
 @needs_tokenizer
 def test_token_sizes(spark):
-    df = docs(spark, [(1, "hello world", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (4, "<|endoftext|>", "en", "a"), (5, "é" * 100_000, "fr", "b")])
+    df = docs(spark, [(1, "hello world", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (4, "<|endoftext|>", "en", "a"), (5, "é" * 100_000, "fr", "b"), (None, "x", None, "a"), ((1 << 60) + 1, "x", "en", "a")])
     got = {r.doc_id: r.n_tokens for r in tokens.token_sizes(df).collect()}
+    assert got[None] == got[(1 << 60) + 1] == 1
     assert 2 <= got[1] <= 4 and got[2] == got[3] == 0 and got[4] > 1 and got[5] > 10_000
 
 
@@ -43,13 +44,13 @@ def test_local_search_empties_bins():
 
 def test_packed_items(spark):
     rng = random.Random(1)
-    rows = [(i, "s", rng.choice([0, 1, 30, 400, 900, 1500])) for i in range(500)] + [(900, "s", 2048), (901, "s", 2049), (902, "s", 7000), (7, "s", 10), (903, None, None)]
+    rows = [(i, "s", rng.choice([0, 1, 30, 400, 900, 1500])) for i in range(500)] + [(900, "s", 2048), (901, "s", 2049), (902, "s", 7000), (7, "s", 10), (903, None, None), (None, "s", 5)]
     sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
     packed = bp.packed_items(sizes, group_items=100).collect()
     fill = Counter()
     for r in packed:
         fill[r.container] += r.size
-    assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(n for _, _, n in rows if n)
+    assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(n for i, _, n in rows if n and i is not None)
     assert {r.doc_id for r in packed if r.n_pieces > 1} == {901, 902}
     rest = [r.size for r in packed if r.size < 2048]
     assert len(fill) <= len(packed) - len(rest) + len(bp.pack(rest)) + 6
@@ -113,10 +114,10 @@ def test_kinds(kind, text):
 
 def test_flagged_texts(spark):
     rows = [(i, t, lang, "s") for i, (t, lang) in enumerate((t, "en") for ts in TEXTS.values() for t in ts)]
-    rows += [(900, None, "en", "s"), (901, " \n ", "EN", "s"), (902, PROSE, None, "s"), (903, PROSE, "EN", None), (904, PROSE + " " + PROSE * 2000, "xx", "s")] + [(1000 + i, PROSE, "en", "s") for i in range(60)]
+    rows += [(900, None, "en", "s"), (901, " \n ", "EN", "s"), (902, PROSE, None, "s"), (None, "tbd", "en", "s"), (903, PROSE, "EN", None), (904, PROSE + " " + PROSE * 2000, "xx", "s")] + [(1000 + i, PROSE, "en", "s") for i in range(60)]
     got = {r.doc_id: r.kind for r in tq.not_prose(docs(spark, rows)).collect()}
     want = {i: k for i, k in enumerate(k for k, ts in TEXTS.items() for _ in ts) if k != "prose"}
-    assert got == want
+    assert got == want | {None: "junk"}
     stats = {r.doc_id: r for r in tq.flagged_texts(tq.text_statistics(docs(spark, rows))).collect()}
     assert stats[902].lang == stats[904].lang == "other" and stats[903].lang == "en" and 900 not in stats and 901 not in stats
     assert stats[1000].n_words == 29 and stats[1000].punctuated_lines == 1.0 and 0.3 < stats[1000].common_words < 0.7

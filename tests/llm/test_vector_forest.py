@@ -39,7 +39,7 @@ def test_recall_against_brute_force(spark):
 def test_unusable_vectors_copies_and_ties(spark):
     v = clusters(1, 1, 0)[0].tolist()
     w = (np.array(v) * 3.0).tolist()
-    rows = [(1, v), (2, v), (3, w), (4, None), (5, [0.0] * 256), (6, v[:255]), (7, v[:255] + [float("nan")]), (8, v[:255] + [None]), (9, v[:255] + [float("inf")])] + [(100 + i, v) for i in range(30)]
+    rows = [(1, v), (2, v), (3, w), (4, None), (5, [0.0] * 256), (6, v[:255]), (7, v[:255] + [float("nan")]), (8, v[:255] + [None]), (9, v[:255] + [float("inf")]), (None, v)] + [(100 + i, v) for i in range(30)]
     df = spark.createDataFrame([(i, e, 1, "x") for i, e in rows], SCHEMA)
     top = vf.similar_rows(df).collect()
     by = {}
