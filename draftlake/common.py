@@ -40,6 +40,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt out to all of them.
+
+    For Python stages whose work per row outweighs moving the row. Large tables have
+    more splits than cores and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def plan_id(col: Column | str) -> Column:
     """Plan identity without the ``.svg`` or ``_contract`` endings that older exports left on it."""
     c = F.col(col) if isinstance(col, str) else col
