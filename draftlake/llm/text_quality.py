@@ -12,7 +12,8 @@ composition without sentences counts as a tail by itself.
 
 Scale. The sketches are a few hundred values per language and statistic, the
 only thing joined back, and the number of languages is bounded by grouping all
-unknown codes as one. No document is shuffled.
+unknown codes as one. No document is shuffled where a table has more splits than
+the cluster has cores.
 
 Edge cases: null and blank texts have null statistics and no kind; unknown, null
 and upper-case languages are normalised; very long texts are read whole; a
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.common import checkpoint
+from draftlake.common import checkpoint, spread
 
 LANGUAGES = ("en", "de", "fr", "es")
 #: Common words per language, fixed values.
@@ -222,7 +223,7 @@ def normal_language(c: Column | str) -> Column:
 def text_statistics(documents: DataFrame) -> DataFrame:
     """doc_id, lang and the statistics of every text that is not null or blank."""
     held = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    return held.select(F.col("doc_id").cast("long").alias("doc_id"), normal_language("lang").alias("lang"), "text").mapInArrow(_describe, _SHAPE)
+    return spread(held.select(F.col("doc_id").cast("long").alias("doc_id"), normal_language("lang").alias("lang"), "text")).mapInArrow(_describe, _SHAPE)
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:

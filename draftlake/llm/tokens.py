@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.common import spread
+
 #: Rank file of a byte-level BPE vocabulary; set DRAFTLAKE_TOKENIZER or pass ``path`` for another one.
 DEFAULT_PATH = os.environ.get("DRAFTLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: The published pre-tokenizer pattern of byte-level BPE vocabularies.
@@ -39,11 +41,11 @@ def count_tokens(texts: list[str | None], path: str = DEFAULT_PATH) -> list[int]
 
 
 def token_sizes(documents: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
-    """doc_id, source, n_tokens of every row; whole texts are encoded where they are read, nothing is shuffled."""
+    """doc_id, source, n_tokens of every row; whole texts are encoded where they are read (see common.spread for small tables)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch({"doc_id": b.column(0), "source": b.column(1), "n_tokens": pa.array(count_tokens(b.column(2).to_pylist(), path), pa.int64())})
 
     source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string").alias("source")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source, "text").mapInArrow(run, "doc_id long, source string, n_tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), source, "text")).mapInArrow(run, "doc_id long, source string, n_tokens long")
