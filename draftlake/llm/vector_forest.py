@@ -2,10 +2,12 @@
 
 Every tree turns a vector into a long hash string: the vector is rotated at
 random and its digits are the signed axes on which it lies furthest out, the
-furthest first, so that similar vectors share long prefixes. The strings of all
-trees are sorted, and a row descends in each tree to the longest prefix that
-still holds enough rows (a leaf); where a prefix holds too few, the row ascends
-to the shorter one, in all trees alike. Within a leaf rows are compared by
+furthest first, so that similar vectors share digits. A row's leaf is its first
+digit. Where that leaf is crowded, its rows go down to sets of two digits, and
+where such a set is crowded to sets of three, but each to all sets among its
+WIDTHS furthest digits whatever their order, as two similar vectors seldom agree on the
+order. So going down costs more entries per row instead of partners; a set of three
+that is still crowded is compared whole. Within a leaf rows are compared by
 256-bit sign sketches in blocks (a matrix product per leaf), and the pairs that
 may reach the wanted cosine become candidates.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,11 @@ from draftlake.operators.search import BestOf, row_slices
 DIM = 256
 SKETCH_BITS = 256
 TREES = 7
-#: A prefix with more rows is extended by the next digit, up to DEPTH digits.
+#: A leaf with more rows is split by sets of one digit more, up to DEPTH digits.
 LEAF_ROWS = 6000
 DEPTH = 3
+#: Digits from which the sets of one, two and three are drawn (1, 6 and 20 sets).
+WIDTHS = (1, 4, 6)
 #: Standard deviations of the sketch's estimate by which a candidate may seem less similar than wanted.
 SLACK = 1.8
 GRID = 512.0
@@ -111,39 +116,56 @@ def _digits(m: np.ndarray, rotation: np.ndarray, depth: int) -> np.ndarray:
     return 2 * far + (np.take_along_axis(p, far, axis=1) > 0)
 
 
-def _prefixes(digits: np.ndarray) -> list[np.ndarray]:
-    """Codes of the prefixes of one, two, ... digits."""
-    codes = [digits[:, 0].astype(np.int64)]
-    for k in range(1, digits.shape[1]):
-        codes.append(codes[-1] * 1024 + digits[:, k] + (1 << 20))
-    return codes
+def _sets(digits: np.ndarray, size: int, width: int) -> np.ndarray:
+    """Codes of all sets of ``size`` among the first ``width`` digits of every row, a column each."""
+    ordered = [np.sort(digits[:, list(c)], axis=1).astype(np.int64) for c in combinations(range(width), size)]
+    base = np.int64(1024)  # more than any digit
+    return np.stack([sum((d[:, i] * base**i for i in range(size)), np.int64(size) << 40) for d in ordered], axis=1)
 
 
-def crowded_prefixes(packed: DataFrame, n_rows: int, trees: int = TREES, depth: int = DEPTH, leaf_rows: int = LEAF_ROWS, dim: int = DIM) -> set[tuple[int, int]]:
-    """(tree, prefix) of the prefixes that hold more than ``leaf_rows`` rows, fitted on about FIT_ROWS of them.
+def _leaf_codes(digits: np.ndarray, full: np.ndarray, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Row index and code of every leaf a row is in; a row in a crowded one goes on to all sets of the next size."""
+    at, rows, codes = np.arange(len(digits)), [], []
+    for size, width in enumerate(widths, 1):
+        sets = _sets(digits[at], size, width)
+        crowded = np.isin(sets, full) if size < len(widths) else np.zeros(sets.shape, dtype=bool)
+        row, which = np.nonzero(~crowded)
+        rows.append(at[row])
+        codes.append(sets[row, which])
+        at = at[crowded.any(axis=1)]
+    return np.concatenate(rows), np.concatenate(codes)
 
-    At most trees x depth x rows / leaf_rows prefixes are crowded; they are counted in
-    Spark and only those reach the driver. The sample decides how far strings are
-    descended, not which rows are indexed.
-    """
-    every = max(1, n_rows // FIT_ROWS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations = [_rotation(17 + t, dim) for t in range(trees)]
-        for b in batches:
-            if b.num_rows:
-                m = _unit(_unpack(b.column(0).to_pylist(), dim)).astype(np.float32)
-                for t, r in enumerate(rotations):
-                    for code in _prefixes(_digits(m, r, depth))[:-1]:
-                        yield pa.record_batch({"tree": pa.array(np.full(len(code), t, np.int32)), "prefix": pa.array(code)})
+def _narrow(depth: int) -> tuple[int, ...]:
+    """One set of each size."""
+    return tuple(range(1, depth + 1))
 
-    sample = packed.where(F.pmod(F.xxhash64("row_no"), F.lit(every)) == 0).select("v")
-    counts = sample.mapInArrow(run, "tree int, prefix long").groupBy("tree", "prefix").count()
-    return {(r.tree, r.prefix) for r in counts.where(F.col("count") * every > leaf_rows).collect()}
 
+def crowded_prefixes(
+    packed: DataFrame, n_rows: int, trees: int = TREES, depth: int = DEPTH, leaf_rows: int = LEAF_ROWS, dim: int = DIM, widths: tuple[int, ...] | None = None
+) -> set[tuple[int, int]]:
+    """(tree, code) of the sets of digits that hold more than ``leaf_rows`` rows, fitted on about FIT_ROWS of them.
 
-def leaves(packed: DataFrame, crowded: set[tuple[int, int]], trees: int = TREES, depth: int = DEPTH, dim: int = DIM) -> DataFrame:
-    """leaf, row_no, sketch: per tree the longest prefix of each row's hash string that it takes to leave crowded ones."""
+    At most trees x sets per row x rows / leaf_rows sets are crowded; they are counted in
+    Spark, size by size, and only those reach the driver. The sample decides how far rows
+    go down, not which rows are indexed.
+    """
+    every = max(1, n_rows // FIT_ROWS)
+    widths = widths or _narrow(depth)
+    sample = packed.where(F.pmod(F.xxhash64("row_no"), F.lit(every)) == 0).select("row_no", "v")
+    crowded: set[tuple[int, int]] = set()
+    for size in range(1, len(widths)):
+        counts = leaves(sample, crowded, trees, dim=dim, widths=widths[:size]).groupBy("leaf").count()
+        mine = {(r.leaf >> 50, r.leaf & ((1 << 50) - 1)) for r in counts.where(F.col("count") * every > leaf_rows).collect()}
+        if not mine - crowded:
+            break
+        crowded |= mine
+    return crowded
+
+
+def leaves(packed: DataFrame, crowded: set[tuple[int, int]], trees: int = TREES, depth: int = DEPTH, dim: int = DIM, widths: tuple[int, ...] | None = None) -> DataFrame:
+    """leaf, row_no, sketch: per tree the leaves of each row, one unless the row's first digit is crowded and ``widths`` allow more."""
+    widths = widths or _narrow(depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = _rotation(99_991, dim)
@@ -155,11 +177,8 @@ def leaves(packed: DataFrame, crowded: set[tuple[int, int]], trees: int = TREES,
             m = _unit(_unpack(b.column(1).to_pylist(), dim)).astype(np.float32)
             sketch = pa.array([x.tobytes() for x in np.packbits(m @ planes[:, :SKETCH_BITS] > 0, axis=1)], pa.binary())
             for t, r in enumerate(rotations):
-                codes = _prefixes(_digits(m, r, depth))
-                leaf = codes[0]
-                for k in range(1, depth):
-                    leaf = np.where(np.isin(leaf, full[t]) & (leaf == codes[k - 1]), codes[k], leaf)
-                yield pa.record_batch({"leaf": pa.array(leaf + (np.int64(t) << 50)), "row_no": b.column(0), "sketch": sketch})
+                at, codes = _leaf_codes(_digits(m, r, max(widths)), full[t], widths)
+                yield pa.record_batch({"leaf": pa.array(codes + (np.int64(t) << 50)), "row_no": b.column(0).take(pa.array(at)), "sketch": sketch.take(pa.array(at))})
 
     return packed.select("row_no", "v").mapInArrow(run, "leaf long, row_no long, sketch binary")
 
@@ -254,7 +273,7 @@ def _top(col_a: Column, scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similar_rows(vectors: DataFrame, cosine: float = 0.75, k: int = 10, trees: int = TREES, dim: int = DIM) -> DataFrame:
+def similar_rows(vectors: DataFrame, cosine: float = 0.75, k: int = 10, trees: int = TREES, dim: int = DIM, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """a, b, score, rank: of each row its k most similar others with at least ``cosine``."""
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
@@ -267,8 +286,8 @@ def similar_rows(vectors: DataFrame, cosine: float = 0.75, k: int = 10, trees: i
     if doubles.count() <= SMALL_ROWS:  # 8 MB at most; more of them are joined by a shuffle
         doubles = F.broadcast(doubles)
     single = packed.join(doubles, "row_no", "left_anti")
-    crowded = crowded_prefixes(single, packed.count(), trees, dim=dim)
-    pairs = checkpoint(candidate_pairs(leaves(single, crowded, trees, dim=dim), cosine, 2 * n))
+    crowded = crowded_prefixes(single, packed.count(), trees, leaf_rows=leaf_rows, dim=dim, widths=WIDTHS)
+    pairs = checkpoint(candidate_pairs(leaves(single, crowded, trees, dim=dim, widths=WIDTHS), cosine, 2 * n))
     scored = verified_pairs(pairs, packed, cosine, 2 * n, dim)
     return _with_copies(scored, copies, k)
 
@@ -283,9 +302,9 @@ def _with_copies(scored: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     return _top(F.col("a"), spread.unionByName(own), k)
 
 
-def found_pairs(vectors: DataFrame, cosine: float = 0.75, k: int = 10) -> DataFrame:
+def found_pairs(vectors: DataFrame, cosine: float = 0.75, k: int = 10, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """row_a < row_b, one of which is among the other's k most similar."""
-    top = similar_rows(vectors, cosine, k)
+    top = similar_rows(vectors, cosine, k, leaf_rows=leaf_rows)
     return top.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b")).distinct()
 
 

@@ -82,3 +82,17 @@ def test_crowded_prefixes_are_extended(spark):
     deep = vf.leaves(packed, crowded, trees=2)
     flat = vf.leaves(packed, set(), trees=2)
     assert crowded and deep.select("leaf").distinct().count() > flat.select("leaf").distinct().count() and deep.count() == 1200
+
+
+def test_recall_stays_where_every_leaf_is_crowded(spark):
+    # even spread, and a dense region of distinct vectors that holds half of the rows
+    even = clusters(60, 8, 0.5, seed=6)
+    rng = np.random.default_rng(7)
+    center = rng.standard_normal(256)
+    dense = np.concatenate([0.9 * center + c for c in clusters(60, 8, 0.5, seed=8) * 16])
+    m = np.concatenate([even, np.rint(dense.reshape(-1, 256) / np.linalg.norm(dense.reshape(-1, 256), axis=1, keepdims=True) * 512) / 512])
+    df = spark.createDataFrame(frame(spark, m), SCHEMA)
+    want = brute(m, list(range(len(m))), 0.75, 10)
+    for leaf_rows in (20, 1):
+        got = {(r.row_a, r.row_b) for r in vf.found_pairs(df, leaf_rows=leaf_rows).collect()}
+        assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
