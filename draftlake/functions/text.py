@@ -41,10 +41,22 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Blanks and word boundaries of all scripts, which Java's \s and \b leave out.
+BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_LETTER = r"[\p{L}\p{N}_]"
+BOUNDARY = f"(?:(?<={_LETTER})(?!{_LETTER})|(?<!{_LETTER})(?={_LETTER}))"
+
+
+def any_script(pattern: str) -> str:
+    """The pattern with \\s and \\b meant for all scripts."""
+    return pattern.replace(r"\b", BOUNDARY).replace(r"\s", BLANK)
+
+
 def normalise_query(c: Column | str, strict: bool = True) -> Column:
     """Lower case, outer blanks removed, shorthand expanded. ``strict`` keeps the fixed rules with their gaps."""
     rules = ABBREVIATIONS if strict else REPAIRED_ABBREVIATIONS
-    return reduce(lambda x, rule: F.regexp_replace(x, *map(F.lit, rule)), rules, F.regexp_replace(F.lower(col(c)), r"^\s+|\s+$", ""))
+    bare = F.regexp_replace(F.lower(col(c)), f"^{BLANK}+|{BLANK}+$", "")
+    return reduce(lambda x, rule: F.regexp_replace(x, F.lit(any_script(rule[0])), F.lit(rule[1])), rules, bare)
 
 
 def is_garbage_label(c: Column | str) -> Column:

@@ -266,6 +266,13 @@ def layer_name(s: SparkSession, d: str) -> DataFrame:
     return raw.select("raw", text.layer_name("raw").alias("layer"))
 
 
+@query()
+def layer_name_all(s: SparkSession, d: str) -> DataFrame:
+    """Names in letters of any script; layer_name has only those on which DuckDB's upper case agrees."""
+    raw = _nodes(s, d).where("layer is not null").select(F.col("layer").alias("raw")).distinct()
+    return raw.select("raw", text.layer_name("raw").alias("layer"))
+
+
 # ---- plan attributes -------------------------------------------------------
 
 
@@ -335,6 +342,12 @@ def query_normalize(s: SparkSession, d: str) -> DataFrame:
     return held.select("pair_id", text.normalise_query("query").alias("query"))
 
 
+@query()
+def query_normalize_all(s: SparkSession, d: str) -> DataFrame:
+    """Every query that is not null; query_normalize has only those in ASCII, on which DuckDB agrees."""
+    return table(s, d, "pairs").where("query is not null").select("pair_id", text.normalise_query("query").alias("query"))
+
+
 @query("SELECT coalesce(scale_bucket, bedroom_count, 0) AS bucket, count(*) AS n FROM pairs GROUP BY 1")
 def bucket_histogram(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pairs").groupBy(F.coalesce("scale_bucket", "bedroom_count", F.lit(0)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
