@@ -4,8 +4,11 @@ Items are deduplicated per basket, the ordered pairs of a basket are emitted
 from one sorted array, their counts are combined map-side before the shuffle,
 and the marginals give PMI and lift.
 
+Every pair is reported by all_item_pairs. item_pairs, from which the pairs that are cases
+are taken, leaves out what is in too few baskets.
+
 Scale. An item in fewer baskets than the wanted minimum can be in no wanted pair,
-so it is dropped before pairs are formed (exact, as n_ab <= n_a). A pair leaves
+so item_pairs drops it before pairs are formed (exact, as n_ab <= n_a). A pair leaves
 a task once, so hot pairs don't skew the shuffle. The marginals are joined, not
 broadcast by force: Catalyst broadcasts them where their measured size allows.
 
@@ -50,13 +53,25 @@ def item_pairs(baskets: DataFrame, least: int = 5, one_in: int = 1000) -> DataFr
     # frequent items only: at most (mean basket size) x one_in of them, a bound independent of the data's size
     vocabulary = kept.agg(F.collect_set("item").alias("frequent"))
     held = baskets.crossJoin(F.broadcast(vocabulary)).select(F.array_sort(F.array_intersect("items", "frequent")).alias("items"))
+    return _scored(_together(held), kept).where(enough("n_ab"))
+
+
+def all_item_pairs(baskets: DataFrame) -> DataFrame:
+    """item_a < item_b, n_ab, n_a, n_b, n, lift, pmi of every pair that is in a basket, however rare."""
+    total = baskets.agg(F.count(F.lit(1)).alias("n"))
+    single = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    return _scored(_together(baskets), single.crossJoin(F.broadcast(total)))  # one row
+
+
+def _together(held: DataFrame) -> DataFrame:
     first = held.where(F.size("items") > 1).select("items", F.posexplode("items").alias("at", "item_a"))
     pairs = first.select("item_a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("item_b"))
-    together = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
-    scored = (
-        together.join(kept.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n"), "item_a")
-        .join(kept.select(F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), "item_b")
-        .where(enough("n_ab"))
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
+
+
+def _scored(together: DataFrame, marginals: DataFrame) -> DataFrame:
+    scored = together.join(marginals.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n"), "item_a").join(
+        marginals.select(F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), "item_b"
     )
     lift = F.col("n_ab") * F.col("n").cast("double") / (F.col("n_a") * F.col("n_b"))
     return scored.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round(lift, 6).alias("lift"), F.round(F.log2(lift), 6).alias("pmi"))

@@ -48,9 +48,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_item_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Only the pairs in at least 5 plans and one in 1,000; p5_all_item_pairs has every pair."""
     return _pairs_of_items(spark, d)
 
 
+def p5_all_item_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurrence.all_item_pairs(cooccurrence.plan_baskets(table(spark, d, "plan_attributes")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_report(spark, d).where("shortfall > 0").select("request_id", "scale_bucket")
 

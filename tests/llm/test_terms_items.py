@@ -65,3 +65,16 @@ def test_pairs_equal_brute_force(spark):
     assert got == {k: (n, single[k[0]], single[k[1]], len(baskets)) for k, n in pairs.items() if n >= 5 and n * 1000 >= len(baskets)}
     empty = co.item_pairs(co.plan_baskets(attributes(spark, [])))
     assert empty.count() == 0
+
+
+def test_rare_pairs_are_reported(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # three rare pairs among 2,400 plans: two in one plan, one in three
+    baskets = {f"p{i}": ["a", "b"] for i in range(2400)} | {"r0": ["lift", "pit"], "r1": ["a", "vault"]} | {f"s{i}": ["chapel", "organ"] for i in range(3)}
+    attributes(spark, [(k, dict.fromkeys(v, 1), None) for k, v in baskets.items()]).write.parquet(str(tmp_path / "plan_attributes.parquet"))
+    single = Counter(x for v in baskets.values() for x in v)
+    pairs = Counter((a, b) for v in baskets.values() for a in v for b in v if a < b)
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n, r.lift) for r in entry.queries()["p5_all_item_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b): (n, single[a], single[b], 2405, round(n * 2405 / (single[a] * single[b]), 6)) for (a, b), n in pairs.items()}
+    assert co.all_item_pairs(co.plan_baskets(attributes(spark, []))).count() == 0
