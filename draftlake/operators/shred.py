@@ -73,12 +73,12 @@ def _branch(c: Column, kind: T.DataType, path: str, label: str, ordinal: Column,
     return row if in_array else F.when(c.isNotNull(), row).otherwise(none)
 
 
-def adjacency_of_columns(records: DataFrame, record_id: str, columns: list[str], paths: tuple[str, ...]) -> DataFrame:
-    """record_id and the array of adjacency rows of typed nested columns; the root is node 0."""
+def adjacency_of_columns(records: DataFrame, record_id: str, columns: list[str], paths: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """record_id, ``keep`` and the array of adjacency rows of typed nested columns; the root is node 0."""
     kinds = {f.name: f.dataType for f in records.schema.fields}
     root = F.lit(0).cast("long")
     parts = [_branch(F.col(c), kinds[c], c, c, F.lit(0), root, paths, False) for c in columns if _wanted(c, paths)]
-    return records.select(F.col(record_id).alias("record_id"), F.concat(*parts).alias("adjacency"))
+    return records.select(F.col(record_id).alias("record_id"), *keep, F.concat(*parts).alias("adjacency"))
 
 
 def shred_value(value: object, paths: tuple[str, ...], arrays: frozenset[str]) -> list[dict]:
@@ -166,17 +166,17 @@ def _narrow(c: Column, kind: T.DataType, path: str, paths: tuple[str, ...]) -> C
 
 
 def contract_adjacency(contracts: DataFrame, raw: DataFrame | None, paths: tuple[str, ...]) -> list[DataFrame]:
-    """record_id, adjacency per source; each partitioned by record_id with every record once."""
+    """record_id, readable, adjacency per source; each partitioned by record_id with every record once."""
     columns = [c for c in ("metadata", "nodes", "edges", "symbols") if _wanted(c, paths)]
     kinds = {f.name: f.dataType for f in contracts.schema.fields}
     slim = contracts.where("contract_id is not null").select(
         "contract_id", F.col("_corrupt_record").isNull().alias("readable"), F.unix_micros("ingested_at").alias("at"), *(_narrow(F.col(c), kinds[c], c, paths).alias(c) for c in columns)
     )
     once = latest(slim, "contract_id", F.desc("readable"), F.desc("at"))
-    out = [adjacency_of_columns(once, "contract_id", columns, paths)]
+    out = [adjacency_of_columns(once, "contract_id", columns, paths, ("readable",))]
     if raw is not None:
         parsed = latest(adjacency_of_json(raw, "contract_id", "body", "received_at", paths), "record_id", F.desc("readable"), F.desc("at"))
-        out.append(parsed.select("record_id", "adjacency"))
+        out.append(parsed.select("record_id", "readable", "adjacency"))
     return out
 
 
@@ -236,3 +236,28 @@ def dangling_references(adjacency: DataFrame) -> DataFrame:
     held = F.max(((F.col("link") == "node") & (F.col("node_ref") != "")).cast("int")).over(same)
     lost = refs.withColumn("held", held).where((F.col("link") != "node") & (F.col("held") == 0))
     return lost.select(F.col("record_id").alias("contract_id"), "link", "ordinal", "node_ref")
+
+
+def symbol_members(adjacency: DataFrame) -> DataFrame:
+    """contract_id, symbol (its ordinal), position, node_ref and node of every entry of node_ids.
+
+    node is the ordinal of the node it names, the last one where ids repeat, and null if
+    the contract holds none.
+    """
+    rows = adjacency_rows(adjacency)
+    key = F.when(F.col("is_object"), F.col("node")).otherwise(F.col("parent"))
+    scalar = lambda label: ~F.col("is_object") & (F.col("label") == label)
+    entities = rows.groupBy("record_id", key.alias("key")).agg(
+        F.max(F.when(F.col("is_object"), F.col("label"))).alias("entity"),
+        F.max(F.when(F.col("is_object"), F.col("ordinal"))).alias("ordinal"),
+        F.max(F.when(scalar("id"), F.col("scalar"))).alias("id"),
+        F.collect_list(F.when(scalar("node_ids"), F.struct(F.col("ordinal").alias("position"), F.coalesce("scalar", F.lit("")).alias("ref")))).alias("node_ids"),
+    )
+    ref = lambda link, position, c: F.struct(F.lit(link).alias("link"), position.alias("position"), F.trim(F.coalesce(c, F.lit(""))).alias("node_ref"))
+    named = F.when(F.col("entity") == "nodes", F.array(ref("node", F.lit(None).cast("int"), F.col("id")))).when(
+        F.col("entity") == "symbols", F.transform("node_ids", lambda x: ref("symbol", x["position"], x["ref"]))
+    )
+    refs = entities.select("record_id", "ordinal", F.explode(named).alias("r")).select("record_id", "ordinal", "r.link", "r.position", "r.node_ref")
+    same = Window.partitionBy("record_id", node_number(F.col("node_ref")))
+    node = F.max(F.when((F.col("link") == "node") & (F.col("node_ref") != ""), F.col("ordinal"))).over(same)
+    return refs.withColumn("node", node).where("link = 'symbol'").select(F.col("record_id").alias("contract_id"), F.col("ordinal").alias("symbol"), "position", "node_ref", "node")

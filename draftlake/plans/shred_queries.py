@@ -16,6 +16,7 @@ NODE_FIELDS = {
     "length": ("features.length", 0, "double"), "center_x": ("features.center", 0, "double"), "center_y": ("features.center", 1, "double"),
     "min_x": ("features.bbox", 0, "double"), "min_y": ("features.bbox", 1, "double"), "max_x": ("features.bbox", 2, "double"), "max_y": ("features.bbox", 3, "double"),
     "radius": ("features.radius", 0, "double"), "rx": ("features.rx", 0, "double"), "ry": ("features.ry", 0, "double"),
+    "start_x": ("endpoints.start", 0, "double"), "start_y": ("endpoints.start", 1, "double"), "end_x": ("endpoints.end", 0, "double"), "end_y": ("endpoints.end", 1, "double"),
 }
 SEGMENT_FIELDS = {
     "type": ("type", 0, "string"), "length": ("length", 0, "double"), "start_x": ("start", 0, "double"), "start_y": ("start", 1, "double"), "end_x": ("end", 0, "double"), "end_y": ("end", 1, "double"),
@@ -42,7 +43,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    paths = ("nodes.id", "nodes.layer", "nodes.semantic_id", "nodes.instance_id", "nodes.semantic_label", "nodes.geometry_type", "nodes.content", "nodes.features")
+    paths = ("nodes.id", "nodes.layer", "nodes.semantic_id", "nodes.instance_id", "nodes.semantic_label", "nodes.geometry_type", "nodes.content", "nodes.endpoints", "nodes.features")
     return _entity(spark, d, "nodes", NODE_FIELDS, paths).drop("key", "parent")
 
 
@@ -65,22 +66,32 @@ def p4_symbols(spark: SparkSession, d: str) -> DataFrame:
     return _entity(spark, d, "symbols", SYMBOL_FIELDS, ("symbols.symbol_id", "symbols.semantic_id", "symbols.instance_id", "symbols.semantic_label", "symbols.node_count")).drop("key", "parent")
 
 
+def p4_symbol_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """contract_id, symbol (its ordinal), position, node_ref and node (the ordinal of the node it names, null if none)."""
+    return reduce(DataFrame.unionByName, (shred.symbol_members(a) for a in _adjacency(spark, d, ("nodes.id", "symbols.node_ids"))))
+
+
 def p4_contracts(spark: SparkSession, d: str) -> DataFrame:
-    """contract_id with the totals its metadata state and the objects it holds."""
+    """contract_id, whether it is readable, the totals its metadata state and the objects it holds.
+
+    Every record of ``contracts`` has a row, be it empty or unreadable; bodies of
+    ``raw_contracts`` that are no JSON yield no records.
+    """
     out = []
     for a in _adjacency(spark, d, ("metadata", "nodes.id", "edges.source", "symbols.symbol_id")):
-        rows = shred.adjacency_rows(a)
+        rows = a.select("record_id", "readable", F.explode_outer("adjacency").alias("r")).select("record_id", "readable", "r.*")
         stated = lambda label: F.max(F.when(F.col("label") == f"metadata.{label}", F.col("scalar")))
         held = lambda label: F.count_if(F.col("is_object") & (F.col("label") == label))
         out.append(
             rows.groupBy("record_id").agg(
-                stated("filename").alias("filename"), stated("epsilon").cast("double").alias("epsilon"),
+                F.max("readable").alias("readable"), stated("filename").alias("filename"), stated("epsilon").cast("double").alias("epsilon"),
                 *(F.expr(f"try_cast(max(case when label = 'metadata.total_{e}' then scalar end) as int)").alias(f"stated_{e}") for e in ("nodes", "edges", "symbols")),
                 *(held(e).alias(f"held_{e}") for e in ("nodes", "edges", "symbols")),
             )
         )
+    out[-1] = out[-1].where("readable")
     return reduce(DataFrame.unionByName, out).withColumnRenamed("record_id", "contract_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_nodes, p4_segments, p4_edges, p4_symbols, p4_contracts)}
+    return {f.__name__: f for f in (p4_found, p4_nodes, p4_segments, p4_edges, p4_symbols, p4_symbol_nodes, p4_contracts)}

@@ -82,3 +82,24 @@ def test_node_number(spark):
 
     rows = spark.createDataFrame([("n00007",), (" N7",), ("7",), ("7.0",), ("n-7",), ("0",), ("",)], "x string").select(shred.node_number(F.col("x")).alias("y"))
     assert [r.y for r in rows.collect()] == ["7", "7", "7", "7", "n-7", "0", ""]
+
+
+def test_flat_tables_hold_every_link_and_contract(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    ended = node("n00002") | {"endpoints": {"start": [1.0, 2.0], "end": [3.0, 4.0]}}
+    typed = contract(
+        spark,
+        [(1, [node("n00001"), ended, node("2")], [], [symbol("N1", None, "n9"), symbol(), symbol("2", "2.0")], None, 1), (2, None, None, None, None, 1), (3, [], [], [], None, 1), (4, None, None, None, "bad", 1), (4, None, None, None, "bad", 2)],
+    )
+    typed.write.parquet(str(tmp_path / "contracts.parquet"))
+    bodies = [(10, json.dumps({"graph": {"nodes": [{"id": 7, "endpoints": {"start": [5, 6], "end": None}}]}, "symbols": [{"node_ids": 7}]})), (11, "{}"), (12, "<svg/>")]
+    raw(spark, bodies).write.parquet(str(tmp_path / "raw_contracts.parquet"))
+    table = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted((r.contract_id, r.symbol, r.position, r.node_ref, -1 if r.node is None else r.node) for r in table("p4_symbol_nodes")) == [
+        (1, 0, 0, "N1", 0), (1, 0, 1, "", -1), (1, 0, 2, "n9", -1), (1, 2, 0, "2", 2), (1, 2, 1, "2.0", 2), (10, 0, 0, "7", 0),
+    ]
+    ends = {(r.contract_id, r.ordinal): (r.start_x, r.start_y, r.end_x, r.end_y) for r in table("p4_nodes")}
+    assert ends == {(1, 0): (None,) * 4, (1, 1): (1.0, 2.0, 3.0, 4.0), (1, 2): (None,) * 4, (10, 0): (5.0, 6.0, None, None)}
+    held = {r.contract_id: (r.readable, r.held_nodes, r.held_symbols) for r in table("p4_contracts")}
+    assert held == {1: (True, 3, 3), 2: (True, 0, 0), 3: (True, 0, 0), 4: (False, 0, 0), 10: (True, 1, 1), 11: (True, 0, 0)}
