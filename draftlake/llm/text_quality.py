@@ -169,12 +169,25 @@ def composition(text: str) -> dict[str, float]:
 _PLACEHOLDER = re.compile(r"(?i)^\W*(?:tbd|tba|tbc|todo|n/?a|none|null|nil|nan|xxx+|xx|test|placeholder|lorem ipsum.*|untitled|empty|-+|\?+|\.+|\d{1,6}|fixme|wip|draft|see above|\[.{0,30}\]|<.{0,30}>|\{.{0,40}\})\W*$", re.S)
 
 
+#: Tokens of a window in which distinct ones are counted; their share of a whole text falls with its length.
+WINDOW = 399
+
+
+def window_variety(tokens: list[str]) -> float:
+    """Mean share of distinct tokens in windows of up to WINDOW tokens that cover the text; the last one ends with it."""
+    low = [t.lower() for t in tokens]
+    starts = [*range(0, len(low) - WINDOW, WINDOW), max(0, len(low) - WINDOW)]
+    shares = [len(set(w)) / len(w) for w in (low[i : i + WINDOW] for i in starts) if w]
+    return sum(shares) / len(shares) if shares else 0.0
+
+
 def kind_of(text: str, c: dict[str, float]) -> str:
     """prose, list, table or junk from a text's composition."""
     if _PLACEHOLDER.match(text.strip()):
         return "junk"
-    n_tokens = len(text.split())
-    if n_tokens >= 8 and c["variety"] < 0.12 and n_tokens < 400 or (n_tokens >= 5 and c["variety"] <= 0.25 and c["prose_share"] < 0.5 and c["table_share"] < 0.5 and len(set(text.lower().split())) <= 3):
+    tokens = text.split()
+    n_tokens = len(tokens)
+    if n_tokens >= 8 and c["variety"] < 0.12 and window_variety(tokens) < 0.12 or (n_tokens >= 5 and c["variety"] <= 0.25 and c["prose_share"] < 0.5 and c["table_share"] < 0.5 and len(set(text.lower().split())) <= 3):
         return "junk"
     # a sentence that leads into many entries or rows is longer than they are, but not what the text is
     lead = 3 * max(1, c["sentences"])

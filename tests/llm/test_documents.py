@@ -122,3 +122,16 @@ def test_flagged_texts(spark):
     assert stats[902].lang == stats[904].lang == "other" and stats[903].lang == "en" and 900 not in stats and 901 not in stats
     assert stats[1000].n_words == 29 and stats[1000].punctuated_lines == 1.0 and 0.3 < stats[1000].common_words < 0.7
     assert tq.not_prose(docs(spark, [])).count() == 0
+
+
+def test_repeated_text_is_junk_at_any_length():
+    for unit in ("foo bar baz qux", "Home Menu Login Search Imprint", "The plan is not here."):
+        n = len(unit.split())
+        for tokens_wanted in (100, 396, 400, 404, 800, 20_000):
+            for between in (" ", "\n"):
+                text = between.join([unit] * (tokens_wanted // n))
+                assert tq.kind_of(text, tq.composition(text)) == "junk", (unit, tokens_wanted, between)
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "ra") for b in ("den", "fol", "gas", "hut", "jen", "tor")]
+    long = " ".join(" ".join(["the", rng.choice(words), "and", "a", rng.choice(words), rng.choice(words), "of", "this", rng.choice(words), "is", "by", rng.choice(words) + str(".")]) for _ in range(4000))
+    assert tq.kind_of(long, tq.composition(long)) == "prose"
