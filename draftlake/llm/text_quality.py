@@ -6,9 +6,10 @@ short entries, cells and unreadable matter) are computed in one pass over the wh
 text. Mergeable KLL quantile sketches of each statistic are built per language
 (map-side partial sketches, merged after one small shuffle), values become
 robust z-scores and percentiles (in steps of five) against them, and documents in a tail are
-flagged. A flagged document gets its kind from its own composition: list, table
-or junk; the rest is prose. A short text can't hide in a wide distribution, as a
-composition without sentences counts as a tail by itself.
+flagged. The kind doesn't depend on the sketches: it comes from a document's own
+composition (list, table, junk or prose), and a composition that isn't prose counts
+as a tail by itself, so that no text hides in a wide distribution. z-scores,
+percentiles and tails are figures of the report only.
 
 Scale. The sketches are a few hundred values per language and statistic, the
 only thing joined back, and the number of languages is bounded by grouping all
