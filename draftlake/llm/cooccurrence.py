@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.common import checkpoint
+
 ADJACENT = r"(?i)^(.*?)\s+is\s+adjacent\s+to\s+the\s+(.*)$"
 
 
@@ -46,6 +48,7 @@ def plan_baskets(attributes: DataFrame) -> DataFrame:
 
 def item_pairs(baskets: DataFrame, least: int = 5, one_in: int = 1000) -> DataFrame:
     """item_a < item_b, n_ab, n_a, n_b, n, lift, pmi of the pairs in at least ``least`` baskets and in one of ``one_in``."""
+    baskets = checkpoint(baskets)  # read for the marginals and for the pairs
     total = baskets.agg(F.count(F.lit(1)).alias("n"))
     single = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     enough = lambda c: (F.col(c) >= least) & (F.col(c) * one_in >= F.col("n"))
@@ -58,6 +61,7 @@ def item_pairs(baskets: DataFrame, least: int = 5, one_in: int = 1000) -> DataFr
 
 def all_item_pairs(baskets: DataFrame) -> DataFrame:
     """item_a < item_b, n_ab, n_a, n_b, n, lift, pmi of every pair that is in a basket, however rare."""
+    baskets = checkpoint(baskets)
     total = baskets.agg(F.count(F.lit(1)).alias("n"))
     single = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     return _scored(_together(baskets), single.crossJoin(F.broadcast(total)))  # one row

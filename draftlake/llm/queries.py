@@ -39,20 +39,12 @@ def p3_term_counts(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, d, "contracts"), "contract_id", term_counts.node_fields())
 
 
-def _pairs_of_items(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.item_pairs(cooccurrence.plan_baskets(table(spark, d, "plan_attributes")))
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.associated(_pairs_of_items(spark, d)).select("item_a", "item_b")
+    return cooccurrence.associated(cooccurrence.item_pairs(cooccurrence.plan_baskets(table(spark, d, "plan_attributes")))).select("item_a", "item_b")
 
 
 def p5_item_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Only the pairs in at least 5 plans and one in 1,000; p5_all_item_pairs has every pair."""
-    return _pairs_of_items(spark, d)
-
-
-def p5_all_item_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of items that occur together, however rare."""
     return cooccurrence.all_item_pairs(cooccurrence.plan_baskets(table(spark, d, "plan_attributes")))
 
 
@@ -68,6 +60,10 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample.draw_sample(table(spark, d, "pairs"), table(spark, d, "sample_targets"))
 
 
+def p6_drawn_shares(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample.drawn_shares(table(spark, d, "pairs"), table(spark, d, "sample_targets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_map.found_layers(table(spark, d, "contracts"), table(spark, d, "canonical_layers"))
 
@@ -85,6 +81,10 @@ def p8_packing_report(spark: SparkSession, d: str) -> DataFrame:
     return bin_packing.packing_report(bin_packing.packed_items(tokens.token_sizes(table(spark, d, "documents"))))
 
 
+def p8_search_report(spark: SparkSession, d: str) -> DataFrame:
+    return bin_packing.search_report(bin_packing.packed_items(tokens.token_sizes(table(spark, d, "documents"))))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return source_mix.short_sources(tokens.token_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 

@@ -10,7 +10,7 @@ quotas are then drawn at random.
 
 Scale. The network is as large as the number of cells (categories x strata), not
 of rows; the driver sees counts only and checks their number. The draw needs no
-sort of a cell: rows get a random 64-bit key, the keys' leading bits are counted per cell, bins below the
+sort of a cell: rows get a random 63-bit key, the keys' leading bits are counted per cell, bins below the
 cut are taken whole and only the one bin in which the cut lies is ranked, so a
 cell with a third of all rows is spread over all tasks.
 
@@ -33,7 +33,9 @@ from pyspark.sql.window import Window
 from draftlake.common import checkpoint, stable_hash
 
 SLACK_COST = 1_000_000
+#: Cells and target rows that the driver takes; more of them raise.
 MAX_CELLS = 200_000
+MAX_TARGETS = 200_000
 #: Leading bits of the random key that are counted per cell.
 BIN_BITS = 10
 
@@ -111,10 +113,12 @@ def cell_quotas(cells: dict[tuple[int, str], int], needs: dict[int, int]) -> tup
         net.arc("source", ("s", s), fair, 0)
         if n > fair:
             net.arc("source", ("s", s), n - fair, 10)
+    supply: dict[int, int] = defaultdict(int)
+    for (c, _), n in cells.items():
+        supply[c] += n
     for (c, s), n in sorted(cells.items()):
         if needs.get(c, 0) > 0:
-            supply = sum(m for (k, _), m in cells.items() if k == c)
-            fair = min(n, needs[c] * n // supply)
+            fair = min(n, needs[c] * n // supply[c])
             # the cell's own share is free, the rest of its availability costs a little
             arcs[c, s] = [net.arc(("s", s), ("c", c), fair, 0), net.arc(("s", s), ("c", c), n - fair, 1)]
     for c, need in needs.items():
@@ -132,55 +136,74 @@ def eligible_rows(pairs: DataFrame, strata: str = "source") -> DataFrame:
 
 
 def request_needs(targets: DataFrame, eligible: int) -> dict[int, dict[int, int]]:
-    """Need per request and bucket: greatest(min_rows, ceil(E * sample * target / 1e6)); targets is a fixed table."""
+    """Need per request and bucket: greatest(min_rows, ceil(E * sample * target / 1e6)); targets is a fixed table.
+
+    A target listed twice counts with its larger need, one without request or bucket not at all.
+    """
     needs: dict[int, dict[int, int]] = {}
-    for r in targets.select("request_id", "scale_bucket", "sample_permille", "target_permille", "min_rows").limit(MAX_CELLS).collect():
+    listed = targets.where("request_id is not null and scale_bucket is not null").select("request_id", "scale_bucket", "sample_permille", "target_permille", "min_rows")
+    rows = listed.limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets; ask for them in several tables")
+    for r in rows:
         share = -(-eligible * (r.sample_permille or 0) * (r.target_permille or 0) // 1_000_000)
-        needs.setdefault(r.request_id, {})[r.scale_bucket] = max(r.min_rows or 0, share)
+        of = needs.setdefault(r.request_id, {})
+        of[r.scale_bucket] = max(of.get(r.scale_bucket, 0), r.min_rows or 0, share)
     return needs
 
 
-def plan_quotas(pairs: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[tuple], list[tuple]]:
-    """The eligible rows, quotas (request, bucket, stratum, quota, available) and report (request, bucket, need, available, quota, shortfall)."""
-    rows = eligible_rows(pairs)
+def plan_quotas(rows: DataFrame, targets: DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """Of eligible rows: quotas (request, bucket, stratum, quota) and report (request, bucket, need, available, quota, shortfall)."""
     counted = rows.groupBy("scale_bucket", "stratum").count().limit(MAX_CELLS + 1).collect()
     if len(counted) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells; choose a coarser stratum")
     cells = {(r.scale_bucket, r.stratum): r["count"] for r in counted}
+    available: dict[int, int] = defaultdict(int)
+    for (c, _), n in cells.items():
+        available[c] += n
     quotas, report = [], []
     for request, needs in sorted(request_needs(targets, sum(cells.values())).items()):
         drawn, short = cell_quotas(cells, needs)
-        quotas += [(request, c, s, q, cells[c, s]) for (c, s), q in sorted(drawn.items())]
-        for c, need in sorted(needs.items()):
-            available = sum(n for (k, _), n in cells.items() if k == c)
-            report.append((request, c, need, available, sum(q for (k, _), q in drawn.items() if k == c), short.get(c, 0)))
-    return rows, quotas, report
+        quotas += [(request, c, s, q) for (c, s), q in sorted(drawn.items())]
+        taken: dict[int, int] = defaultdict(int)
+        for (c, _), q in drawn.items():
+            taken[c] += q
+        report += [(request, c, need, available[c], taken[c], short.get(c, 0)) for c, need in sorted(needs.items())]
+    return quotas, report
 
 
 def shortfalls(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     """request_id, scale_bucket, need, available, quota, shortfall of every target row."""
-    _, _, report = plan_quotas(pairs, targets)
+    _, report = plan_quotas(eligible_rows(pairs), targets)
     return pairs.sparkSession.createDataFrame(report, "request_id int, scale_bucket int, need long, available long, quota long, shortfall long")
 
 
 def draw_sample(pairs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """request_id, pair_id, scale_bucket, stratum: the rows drawn for every request."""
+    """request_id, pair_id, scale_bucket, stratum: the rows drawn for every request.
+
+    The requests' keys are hashes, so they are derived twice (for the counts of bins and for
+    the choice) instead of being kept; only rows of the bins in which a cut lies are ranked.
+    """
     spark = pairs.sparkSession
-    rows, quotas, _ = plan_quotas(pairs, targets)
-    wanted = spark.createDataFrame(quotas, "request_id int, scale_bucket int, stratum string, quota long, available long")
-    keyed = checkpoint(rows.join(F.broadcast(wanted.select("request_id", "scale_bucket", "stratum")), ["scale_bucket", "stratum"]).withColumn("key", stable_hash("pair_id", "request_id", seed=seed)))
-    keyed = keyed.withColumn("bin", F.shiftright("key", 63 - BIN_BITS))
+    rows = checkpoint(eligible_rows(pairs))
+    quotas, _ = plan_quotas(rows, targets)
+    wanted = spark.createDataFrame(quotas, "request_id int, scale_bucket int, stratum string, quota long")
     cell = ["request_id", "scale_bucket", "stratum"]
+    key = stable_hash("pair_id", "request_id", seed=seed)
+    # at most one row per cell and request, whose numbers plan_quotas has checked
+    keyed = rows.join(F.broadcast(wanted), ["scale_bucket", "stratum"]).withColumn("key", key).withColumn("bin", F.shiftright("key", 63 - BIN_BITS))
     below = Window.partitionBy(*cell).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = keyed.groupBy(*cell, "bin").count().withColumn("before", F.coalesce(F.sum("count").over(below), F.lit(0)))
-    cut = (
-        bins.join(F.broadcast(wanted.drop("available")), cell)
-        .where(F.col("before") < F.col("quota"))
-        .groupBy(*cell)
-        .agg(F.max("bin").alias("last"), F.max_by("before", "bin").alias("taken"), F.max("quota").alias("quota"))
-    )
-    chosen = keyed.join(F.broadcast(cut), cell).where(F.col("bin") <= F.col("last"))  # one row per cell and request
+    bins = keyed.groupBy(*cell, "quota", "bin").count().withColumn("before", F.coalesce(F.sum("count").over(below), F.lit(0)))
+    cut = bins.where(F.col("before") < F.col("quota")).groupBy(*cell, "quota").agg(F.max("bin").alias("last"), F.max_by("before", "bin").alias("taken"))
+    chosen = keyed.drop("quota").join(F.broadcast(cut), cell).where(F.col("bin") <= F.col("last"))  # one row per cell and request
     whole = chosen.where(F.col("bin") < F.col("last"))
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("key", "pair_id"))
     partly = chosen.where(F.col("bin") == F.col("last")).withColumn("rank", rank).where(F.col("rank") <= F.col("quota") - F.col("taken")).drop("rank")
     return whole.unionByName(partly).select("request_id", "pair_id", "scale_bucket", "stratum")
+
+
+def drawn_shares(pairs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """request_id, scale_bucket, n_drawn of the sample, also of the buckets of which nothing was drawn."""
+    counted = draw_sample(pairs, targets, seed).groupBy("request_id", "scale_bucket").agg(F.count(F.lit(1)).alias("n_drawn"))
+    asked = targets.where("request_id is not null and scale_bucket is not null").select("request_id", "scale_bucket").distinct()
+    return asked.join(counted, ["request_id", "scale_bucket"], "left").select("request_id", "scale_bucket", F.coalesce("n_drawn", F.lit(0)).alias("n_drawn"))

@@ -15,8 +15,7 @@ single AS (SELECT item, count(*) AS n_item FROM clean WHERE item IS NOT NULL GRO
 pairs_ AS (
   SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM clean a JOIN clean b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2),
 scored AS (
-  SELECT item_a, item_b, n_ab, x.n_item AS n_a, y.n_item AS n_b, n FROM pairs_ JOIN single x ON x.item = item_a JOIN single y ON y.item = item_b, total
-  WHERE n_ab >= 5 AND n_ab * 1000 >= n)
+  SELECT item_a, item_b, n_ab, x.n_item AS n_a, y.n_item AS n_b, n FROM pairs_ JOIN single x ON x.item = item_a JOIN single y ON y.item = item_b, total)
 """
 
 _TERMS = """
@@ -54,9 +53,10 @@ def oracle_sql() -> dict[str, str]:
         "p2_topk_queries": _TOPK,
         "p3_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_term_counts": _TERMS + "SELECT * FROM m",
-        "p5_found": _ITEMS + "SELECT item_a, item_b FROM scored WHERE n_ab * n >= 3 * n_a * n_b",
+        "p5_found": _ITEMS + "SELECT item_a, item_b FROM scored WHERE n_ab >= 5 AND n_ab * 1000 >= n AND n_ab * n >= 3 * n_a * n_b",
         "p5_item_pairs": _ITEMS + "SELECT *, round(n_ab * n::DOUBLE / (n_a * n_b), 6) AS lift, round(log2(n_ab * n::DOUBLE / (n_a * n_b)), 6) AS pmi FROM scored",
         "p6_found": _NEEDS + "SELECT request_id, t.scale_bucket FROM t LEFT JOIN a USING (scale_bucket) WHERE need > coalesce(available, 0)",
         "p6_report": _NEEDS
         + "SELECT request_id, t.scale_bucket, need, coalesce(available, 0) AS available, least(need, coalesce(available, 0)) AS quota, greatest(need - coalesce(available, 0), 0) AS shortfall FROM t LEFT JOIN a USING (scale_bucket)",
+        "p6_drawn_shares": _NEEDS + "SELECT request_id, t.scale_bucket, least(need, coalesce(available, 0)) AS n_drawn FROM t LEFT JOIN a USING (scale_bucket)",
     }

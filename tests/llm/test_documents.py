@@ -29,7 +29,8 @@ def test_local_search_never_loses_or_overfills():
     rng = random.Random(7)
     for _ in range(30):
         sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(0, 80))]
-        bins = bp.pack(sizes, 60)
+        bins, before, _ = bp.pack(sizes, 60)
+        assert len(bins) <= before
         assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
         assert all(sum(sizes[i] for i in b) <= 60 for b in bins)
         if sizes:
@@ -39,7 +40,30 @@ def test_local_search_never_loses_or_overfills():
 def test_local_search_empties_bins():
     # 7+7, 6+6, 6+6 in bins of 18 fit into two bins, which no move alone reaches
     sizes = [7, 7, 6, 6, 5, 5]
-    assert len(bp.local_search([[0, 1], [2, 3], [4, 5]], sizes, 18)) == 2
+    bins, steps = bp.local_search([[0, 1], [2, 3], [4, 5]], sizes, 18)
+    assert len(bins) == 2 and steps
+
+
+def test_every_bin_can_be_a_partner():
+    # 300 fuller bins that can't take the item, and one emptier bin that can: no exchange is left out
+    sizes = [900, *[950] * 300, 100, 880]
+    bins, _ = bp.local_search([[0], *([k] for k in range(1, 301)), [301], [302]], sizes, 1000)
+    assert len(bins) == 302 and sorted(i for b in bins for i in b) == list(range(303))
+
+
+def test_search_ends_where_no_exchange_gains():
+    rng = random.Random(11)
+    for _ in range(20):
+        sizes = [rng.choice([3, 5, 7, 11, 13, 17, 19]) for _ in range(rng.randrange(1, 60))]
+        bins, _ = bp.local_search([[i] for i in range(len(sizes))], sizes, 40)
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        for x, bx in enumerate(bins):
+            for a in bx if fill[x] < bp.UNDERFULL * 40 else ():
+                for y, by in enumerate(bins):
+                    if y == x or fill[y] < fill[x]:
+                        continue
+                    outs = [0, *(sizes[i] for i in by), *(sizes[i] + sizes[j] for k, i in enumerate(by) for j in by[k + 1 :])]
+                    assert not any(o < sizes[a] and fill[y] + sizes[a] - o <= 40 for o in outs)
 
 
 def test_packed_items(spark):
@@ -53,10 +77,12 @@ def test_packed_items(spark):
     assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(n for i, _, n in rows if n and i is not None)
     assert {r.doc_id for r in packed if r.n_pieces > 1} == {901, 902}
     rest = [r.size for r in packed if r.size < 2048]
-    assert len(fill) <= len(packed) - len(rest) + len(bp.pack(rest)) + 6
+    assert len(fill) <= len(packed) - len(rest) + len(bp.pack(rest)[0]) + 6
     report = bp.packing_report(bp.packed_items(sizes)).first()
-    assert report.fullest <= 2048 and report.n_containers >= report.least_containers
+    assert report.n_split == 2 and report.fullest <= 2048 and report.n_containers >= report.least_containers
     assert {r.doc_id for r in bp.split_documents(bp.packed_items(sizes)).collect()} == {901, 902}
+    search = bp.search_report(bp.packed_items(sizes, group_items=100)).collect()
+    assert sum(r.n_tokens for r in search) == sum(r.size for r in packed if r.size < 2048) and all(r.bins_kept <= r.bins_before for r in search)
     assert bp.packed_items(sizes.where("false")).count() == 0
 
 

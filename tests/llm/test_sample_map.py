@@ -49,6 +49,20 @@ def test_draw(spark):
     empty = {(r.request_id, r.scale_bucket): r.shortfall for r in qs.shortfalls(pairs(spark, []), targets).collect()}
     assert empty == {(1, 0): 0, (1, 1): 0, (1, 3): 4, (2, 2): 0}
     assert qs.draw_sample(pairs(spark, []), targets).count() == 0
+    shares = {(r.request_id, r.scale_bucket): r.n_drawn for r in qs.drawn_shares(df, targets).collect()}
+    assert shares == {k: r.quota for k, r in report.items()}
+    other = {r.pair_id for r in qs.draw_sample(df, targets, seed=7).collect()}
+    assert other != {r.pair_id for r in drawn.collect()}
+
+
+def test_targets_beyond_the_limit_raise(spark, monkeypatch):
+    targets = spark.createDataFrame([(i, 0, 10, 500, 0) for i in range(5)] + [(None, 0, 1, 1, 1)], TARGETS)
+    monkeypatch.setattr(qs, "MAX_TARGETS", 5)
+    assert len(qs.request_needs(targets, 100)) == 5
+    monkeypatch.setattr(qs, "MAX_TARGETS", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        qs.request_needs(targets, 100)
+    assert qs.request_needs(spark.createDataFrame([(1, 0, 10, 10, 3), (1, 0, 10, 10, 9)], TARGETS), 10) == {1: {0: 9}}
 
 
 ENTRIES = [(1, "WALL", ["Mauer", "墙体"]), (2, "WINDOW", ["Fenster", "fenêtre"]), (5, "ROOM_TEXT", ["Raumtext"]), (7, "COLUMN", None), (8, "STAIRCASE", []), (16, "KITCHEN_EQUIPMENT", []), (34, "CURTAIN_WALL", ["mur-rideau"]), (45, "EXISTING_TREE", []), (21, "FIRE_HYDRANT", [])]

@@ -75,6 +75,6 @@ def test_rare_pairs_are_reported(spark, tmp_path):
     attributes(spark, [(k, dict.fromkeys(v, 1), None) for k, v in baskets.items()]).write.parquet(str(tmp_path / "plan_attributes.parquet"))
     single = Counter(x for v in baskets.values() for x in v)
     pairs = Counter((a, b) for v in baskets.values() for a in v for b in v if a < b)
-    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n, r.lift) for r in entry.queries()["p5_all_item_pairs"](spark, str(tmp_path)).collect()}
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n, r.lift) for r in entry.queries()["p5_item_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(a, b): (n, single[a], single[b], 2405, round(n * 2405 / (single[a] * single[b]), 6)) for (a, b), n in pairs.items()}
     assert co.all_item_pairs(co.plan_baskets(attributes(spark, []))).count() == 0
