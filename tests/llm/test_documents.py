@@ -1,8 +1,11 @@
 import os
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from draftlake.llm import bin_packing as bp
 from draftlake.llm import source_mix as sm
@@ -133,31 +136,82 @@ TEXTS = {
 }
 
 
-@pytest.mark.parametrize(("kind", "text"), [(k, t) for k, ts in TEXTS.items() for t in ts])
-def test_kinds(kind, text):
-    assert tq.kind_of(text, tq.composition(text)) == kind
+NUMBERED = [(i, kind, text) for i, (kind, text) in enumerate((k, t) for k, ts in TEXTS.items() for t in ts)]
+
+
+@pytest.fixture(scope="module")
+def kinds(spark):
+    """The texts among many of prose, as the kind depends on what is usual."""
+    rows = [(i, t, "en", "s") for i, _, t in NUMBERED] + [(1000 + i, PROSE, "en", "s") for i in range(200)]
+    return {r.doc_id: r.kind for r in tq.flagged_texts(tq.text_statistics(docs(spark, rows))).collect()}
+
+
+@pytest.mark.parametrize(("i", "kind", "text"), NUMBERED)
+def test_kinds(kinds, i, kind, text):
+    assert kinds[i] == kind, text
+
+
+def test_kind_depends_on_the_sketches(spark):
+    half = PROSE + "\n" + "\n".join(["deep sofa", "bed", "railing", "desk x4"])
+    stats = tq.text_statistics(docs(spark, [(1, half, "en", "s")])).cache()
+    among = lambda texts: tq.language_sketches(tq.text_statistics(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])))
+    usual = tq.scored_texts(stats, among([PROSE] * 50)).first()
+    assert usual.kind == "prose" and usual.z_prose_share < -1
+    lists = "\n".join(["- sofa", "- bed", "- desk", "- hob"])
+    only = tq.text_statistics(docs(spark, [(1, lists, "en", "s")]))
+    assert tq.scored_texts(only, among([PROSE] * 50)).first().kind == "list"
+    # where most texts are lists, a list is nothing unusual
+    assert tq.scored_texts(only, among([lists] * 50)).first().kind == "prose"
+
+
+def test_sketches_of_parts_merge(spark):
+    rows = [(i, PROSE if i % 3 else PROSE[: 20 + i], "en", "s") for i in range(300)]
+    stats = tq.text_statistics(docs(spark, rows)).cache()
+    parts = tq.language_sketches(stats.where("doc_id < 100")).unionByName(tq.language_sketches(stats.where("doc_id >= 100")))
+    merged = parts.groupBy("lang").agg(F.kll_merge_agg_double("k_n_words").alias("k")) if hasattr(F, "kll_merge_agg_double") else None
+    if merged is not None:
+        at = merged.select(F.kll_sketch_get_quantile_double("k", F.lit(0.5)).alias("q")).first().q
+        whole = tq.language_sketches(stats).select(F.kll_sketch_get_quantile_double("k_n_words", F.lit(0.5)).alias("q")).first().q
+        assert abs(at - whole) <= 2
 
 
 def test_flagged_texts(spark):
-    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate((t, "en") for ts in TEXTS.values() for t in ts)]
+    rows = [(i, t, "en", "s") for i, _, t in NUMBERED]
     rows += [(900, None, "en", "s"), (901, " \n ", "EN", "s"), (902, PROSE, None, "s"), (None, "tbd", "en", "s"), (903, PROSE, "EN", None), (904, PROSE + " " + PROSE * 2000, "xx", "s")] + [(1000 + i, PROSE, "en", "s") for i in range(60)]
     got = {r.doc_id: r.kind for r in tq.not_prose(docs(spark, rows)).collect()}
-    want = {i: k for i, k in enumerate(k for k, ts in TEXTS.items() for _ in ts) if k != "prose"}
-    assert got == want | {None: "junk"}
+    assert got == {i: k for i, k, _ in NUMBERED if k != "prose"} | {None: "junk"}
     stats = {r.doc_id: r for r in tq.flagged_texts(tq.text_statistics(docs(spark, rows))).collect()}
     assert stats[902].lang == stats[904].lang == "other" and stats[903].lang == "en" and 900 not in stats and 901 not in stats
     assert stats[1000].n_words == 29 and stats[1000].punctuated_lines == 1.0 and 0.3 < stats[1000].common_words < 0.7
+    assert stats[1000].mean_word_length == pytest.approx(sum(map(len, re.findall(r"[^\W\d_]+", PROSE))) / 29)
     assert tq.not_prose(docs(spark, [])).count() == 0
 
 
+def kinds_of(texts):
+    got = tq.describe(pa.array(texts, pa.string()), ["en"] * len(texts))
+    return [max(("prose", "list", "table", "junk"), key=lambda k: got[f"{k}_share"][i]) for i in range(len(texts))]
+
+
 def test_repeated_text_is_junk_at_any_length():
     for unit in ("foo bar baz qux", "Home Menu Login Search Imprint", "The plan is not here."):
         n = len(unit.split())
         for tokens_wanted in (100, 396, 400, 404, 800, 20_000):
             for between in (" ", "\n"):
-                text = between.join([unit] * (tokens_wanted // n))
-                assert tq.kind_of(text, tq.composition(text)) == "junk", (unit, tokens_wanted, between)
+                assert kinds_of([between.join([unit] * (tokens_wanted // n))]) == ["junk"], (unit, tokens_wanted, between)
     rng = random.Random(3)
     words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "ra") for b in ("den", "fol", "gas", "hut", "jen", "tor")]
     long = " ".join(" ".join(["the", rng.choice(words), "and", "a", rng.choice(words), rng.choice(words), "of", "this", rng.choice(words), "is", "by", rng.choice(words) + str(".")]) for _ in range(4000))
-    assert tq.kind_of(long, tq.composition(long)) == "prose"
+    assert kinds_of([long]) == ["prose"]
+
+
+def test_slices_give_the_same_statistics(monkeypatch):
+    texts = [t for _, _, t in NUMBERED] + [PROSE * 50]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "lang": pa.array(["en"] * len(texts)), "text": pa.array(texts)})
+    whole = pa.Table.from_batches(tq._describe(iter([batch])))
+    monkeypatch.setattr(tq, "SLICE_BYTES", 100)
+    parts = pa.Table.from_batches(tq._describe(iter([batch])))
+    assert whole.equals(parts.combine_chunks()) or whole.to_pylist() == parts.to_pylist()
+
+
+def test_long_markup_is_seen():
+    assert kinds_of(["<div class='" + "x" * 5000 + "'></div> <span title='" + "y" * 900 + "'>"]) == ["junk"]
