@@ -227,7 +227,7 @@ def map_values(values: DataFrame, canonical: DataFrame, value: str = "value", ke
 
 def typed_values(contracts: DataFrame) -> DataFrame:
     """contract_id, value: the distinct layers of each contract, as stored, that are not blank."""
-    each = contracts.select("contract_id", F.explode(F.array_distinct(F.transform("nodes", lambda n: n.layer))).alias("value"))
+    each = contracts.select("contract_id", F.explode(F.array_distinct("nodes.layer")).alias("value"))
     return each.where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct()
 
 

@@ -20,7 +20,7 @@ scored AS (
 
 _TERMS = """
 WITH one AS (
-  SELECT contract_id, arg_max(nodes, coalesce(len(nodes), 0)) AS nodes FROM contracts GROUP BY contract_id),
+  SELECT contract_id, arg_max(nodes, coalesce(len(nodes), 0)) AS nodes FROM contracts WHERE contract_id IS NOT NULL GROUP BY contract_id),
 n AS (SELECT contract_id, unnest(nodes) AS x FROM one),
 t AS (
   SELECT 'semantic_label' AS field_name, lower(trim(x.semantic_label)) AS term, contract_id FROM n

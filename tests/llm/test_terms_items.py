@@ -33,14 +33,33 @@ def test_marked_terms(spark):
     assert tc.marked_terms(records(spark, []), "id", {"v": F.col("v")}).count() == 0
 
 
-def test_crowded_prefixes_are_routed_apart(spark):
+def test_crowded_prefixes_are_routed_apart(spark, monkeypatch):
     rng = random.Random(0)
-    rows = [(i, [f"aaa{rng.randrange(300)}", f"b{rng.randrange(9)}"], "q", "q") for i in range(500)]
+    rows = [(i, [f"aaaa{rng.randrange(300)}", f"b{rng.randrange(9)}", "aaaa", "a"], "q", "q") for i in range(500)]
     terms = tc.record_terms(records(spark, rows), "id", {"v": F.col("v")})
-    partials = terms.select("field_name", "term", "n").mapInPandas(tc._partial_tries, tc._SUBTREE)
-    got = {r.term: (r.occurrences, r.records) for r in tc.merge_partials(partials, route_entries=50).collect()}
-    want = Counter(t for _, v, *_ in rows for t in v)
-    assert got == {t: (n, n) for t, n in want.items()}
+    want = {t: (n, n) for t, n in Counter(t for _, v, *_ in rows for t in v).items()}
+    for flush in (300_000, 20):
+        monkeypatch.setattr(tc, "FLUSH_TERMS", flush)
+        subtrees = terms.mapInArrow(tc._partial_tries, tc._SUBTREE).cache()
+        crowded = tc.crowded_prefixes(subtrees, 50)
+        assert ("v", "aaaa") in crowded and ("v", "b") not in crowded
+        assert all(("v", x) in crowded for x in ("a", "aa"))
+        merged = tc.merge_subtrees(subtrees, route_entries=50).collect()
+        assert len(merged) == len(want) and {r.term: (r.occurrences, r.records) for r in merged} == want
+
+
+def test_terms_that_meet_over_many_batches(spark):
+    """A route whose subtrees fill several Arrow batches is still merged into one trie."""
+    rows = [(i, [f"x{j % 997}$0$wall" for j in range(i, i + 40)], "q", "q") for i in range(800)] + [(None, ["wall", "x1$0$wall"], "q", "q")]
+    df = records(spark, rows).repartition(8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = tc.term_counts(df, "id", {"v": F.col("v"), "w": F.col("v")}).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = Counter(t for i, v, *_ in rows if i is not None for t in v)
+    assert len(got) == 2 * len(want) and {(r.field_name, r.term): r.occurrences for r in got} == {(f, t): n for f in "vw" for t, n in want.items()}
 
 
 def attributes(spark, rows):
