@@ -63,7 +63,8 @@ def test_block_search_is_exact(spark):
     np.fill_diagonal(s, -2)
     want = {(i, k + 1): j for i in range(0, 60, 20) for k, j in enumerate(sorted(range(60), key=lambda j: (-s[i, j], j))[:5])}
     assert got == want
-    assert vf.recall_report(df).first().recall >= 0.9
+    report = vf.recall_report(df).first()
+    assert report.recall >= 0.9 and report.n_top == 30 and 0 < report.recall_of_top <= 1
 
 
 def test_packing_is_exact():
@@ -80,7 +81,7 @@ def test_crowded_prefixes_are_extended(spark):
     packed = vf.packed_rows(spark.createDataFrame(frame(spark, m), SCHEMA))
     crowded = vf.crowded_prefixes(packed, 600, trees=2, leaf_rows=20)
     deep = vf.leaves(packed, crowded, trees=2)
-    flat = vf.leaves(packed, set(), trees=2)
+    flat = vf.leaves(packed, {}, trees=2)
     assert crowded and deep.select("leaf").distinct().count() > flat.select("leaf").distinct().count() and deep.count() == 1200
 
 
@@ -96,3 +97,36 @@ def test_recall_stays_where_every_leaf_is_crowded(spark):
     for leaf_rows in (20, 1):
         got = {(r.row_a, r.row_b) for r in vf.found_pairs(df, leaf_rows=leaf_rows).collect()}
         assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def candidates(packed, n, **options):
+    return {(r.a, r.b) for r in vf.forest_candidates(packed, n, 0.75, 4, **options).collect()}
+
+
+def test_rows_with_few_candidates_ascend(spark):
+    m = clusters(30, 10, 0.5, seed=9)
+    packed = vf.packed_rows(spark.createDataFrame(frame(spark, m), SCHEMA)).cache()
+    wide = candidates(packed, 300, trees=2, leaf_rows=10**6)
+    deep = candidates(packed, 300, trees=2, leaf_rows=1, enough=0)
+    some = candidates(packed, 300, trees=2, leaf_rows=1, enough=60)
+    back = candidates(packed, 300, trees=2, leaf_rows=1, enough=10**6)
+    assert len(deep) <= len(some) <= len(back)
+    # all rows are back at the crowded prefixes they came from, so no pair of them is lost
+    assert deep < back and deep <= some <= back
+    want = brute(m, list(range(len(m))), 0.75, 10)
+    assert len(back & want) >= len(deep & want) and len(back & want) >= len(wide & want)
+
+
+def test_hot_groups_are_cut_into_blocks(spark, monkeypatch):
+    m = clusters(2, 120, 0.45, seed=10)
+    df = spark.createDataFrame(frame(spark, m), SCHEMA)
+    want = {(r.row_a, r.row_b) for r in vf.found_pairs(df).collect()}
+    monkeypatch.setattr(vf, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vf, "COPIES", 3)
+    assert {(r.row_a, r.row_b) for r in vf.found_pairs(df).collect()} == want
+    split = {(r.row_a, r.row_b) for r in vf.found_pairs(df, leaf_rows=1).collect()}
+    assert len(split & want) >= 0.97 * len(want)
+    twice = spark.createDataFrame(frame(spark, np.concatenate([m[:30]] * 8)), SCHEMA)
+    got = {(r.row_a, r.row_b) for r in vf.found_pairs(twice).collect()}
+    expected = brute(np.concatenate([m[:30]] * 8), list(range(240)), 0.75, 10)
+    assert len(got & expected) >= 0.97 * len(expected)
