@@ -1,15 +1,18 @@
 """Problem 7: free-entered values mapped to the closest entry of a reference list.
 
-Method: token-level repair. The distinct values are cut into tokens, the distinct
+Method: token-level repair. The distinct values are cut into tokens, and the distinct
 tokens are joined to the reference vocabulary (tokens of the entries and of
-their accepted other names) by edit distance, digits misread for letters and
-abbreviation, and a soft TF-IDF over the repaired tokens ranks the entries.
+their accepted other names) on deletion neighbourhoods (edit distance), beginnings and
+letters of abbreviations, digits misread for letters being one with them. What
+meets is compared exactly, and a soft TF-IDF over the repaired tokens ranks the
+entries that an inverted index finds for them.
 Values whose best score is too low, or whose best entries tie, are reported as
 unmatched (-1).
 
-Scale. Work is per distinct token and per distinct value, not per row. The
-reference list is a fixed table; its size is checked before it is sent to the
-workers. Values are brought back to the rows by a join on the value.
+Scale. Work is per distinct token and per distinct value, not per row, and neither
+looks at the whole list: a token meets the words that share a key, a value the entries
+that hold a repaired token. The reference list is a fixed table; its size is
+checked before its entries are sent to the workers. Values are brought back to the rows by a join on the value.
 
 Edge cases: null and blank values are left out; values equal to an entry are
 left out of the report of typed ones; a value without letters means none; very
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.common import shuffle_partitions
+from draftlake.common import checkpoint, shuffle_partitions
 
 MAX_ENTRIES = 20_000
 ACCEPT = 0.62
@@ -130,18 +133,19 @@ class Reference:
         self.unknown = math.log(1 + n)
         self.solid = {"".join(tokens): (key, tokens) for key, tokens in self.names if len(tokens) > 1}
 
-    def repairs(self, token: str) -> dict[str, float]:
-        """Reference tokens that a typed token may stand for."""
-        out = {}
-        for w in self.weight:
-            s = token_similarity(token, w)
-            if s >= 0.6:
-                out[w] = s
-        for w in self.solid:  # words written together
-            s = token_similarity(token, w)
-            if s >= 0.8:
-                out[w] = s
-        return out
+        self.names_of: dict[str, list[int]] = {}
+        for i, (_, tokens) in enumerate(self.names):
+            for w in {*tokens, "".join(tokens)}:
+                self.names_of.setdefault(w, []).append(i)
+
+    def words(self) -> list[str]:
+        """What typed tokens may stand for: the names' tokens, and names of several tokens written together."""
+        return sorted({*self.weight, *self.solid})
+
+    def stands_for(self, token: str, word: str) -> float:
+        """How far a typed token stands for one of words(), 0 if too little."""
+        s = token_similarity(token, word)
+        return s if s >= (0.6 if word in self.weight else 0.8) else 0.0
 
     def rank(self, tokens: list[str], repairs: dict[str, dict[str, float]]) -> list[tuple[float, int]]:
         """(score, key) of every entry that any token stands for, best first; soft TF-IDF."""
@@ -156,7 +160,8 @@ class Reference:
         if not typed:
             return []
         best: dict[int, float] = {}
-        for key, name in self.names:
+        for i in sorted({i for _, r in typed for w in r for i in self.names_of.get(w, ())}):
+            key, name = self.names[i]
             whole = "".join(name)
             norm_name = sum(self.weight[w] ** 2 for w in name)
             got = 0.0
@@ -183,34 +188,87 @@ class Reference:
         return ranked[0][1], ranked[0][0]
 
 
-def reference_of(canonical: DataFrame, key: str, name: str, aliases: str) -> Reference:
+_LOOKS = str.maketrans("oil", "011")
+
+
+def looks(token: str) -> str:
+    """One form for letters and the digits that are misread for them."""
+    return token.translate(_LOOKS)
+
+
+def edit_keys(token: str) -> set[str]:
+    """The token and what is left of it without one or two letters: tokens at most two edits apart share such a key."""
+    s = looks(token)
+    one = {s[:k] + s[k + 1 :] for k in range(len(s))}
+    return {s} | one | {x[:k] + x[k + 1 :] for x in one if len(s) > 3 for k in range(len(x))}
+
+
+def typed_keys(token: str, longest: int) -> set[str]:
+    """Join keys of a typed token: two tokens of which token_similarity is above zero share one with word_keys."""
+    keys = {"e" + k for k in edit_keys(token)} if len(token) <= longest + 2 else set()
+    for u in {token, token[:-1]} if token.endswith("s") else {token}:
+        s = looks(u)
+        if 3 <= len(u) <= longest:
+            keys |= {"p" + s, f"a{s[0]}{s[1]}{s[-1]}"}
+    return keys
+
+
+def word_keys(word: str) -> set[str]:
+    """Join keys of a reference word: its edits, beginnings, and first letters with any two later ones in order (abbreviations)."""
+    s = looks(word)
+    keys = {"e" + k for k in edit_keys(word)} | {"p" + s[:k] for k in range(3, len(s) + 1)}
+    return keys | {f"a{s[0]}{s[i]}{s[j]}" for i in range(1, len(s)) for j in range(i + 1, len(s))}
+
+
+def reference_rows(canonical: DataFrame, key: str, name: str, aliases: str) -> list[tuple[int, str, list[str]]]:
     rows = canonical.select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(aliases).alias("a")).limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    return Reference([(r.k, r.n, list(r.a or [])) for r in rows if r.n is not None])
+    return [(r.k, r.n, list(r.a or [])) for r in rows if r.n is not None]
+
+
+def repaired_tokens(tokens: DataFrame, rows: list[tuple[int, str, list[str]]]) -> DataFrame:
+    """token, words, scores: what each distinct token may stand for, by a join on the keys of both and the exact similarity of what meets."""
+    spark = tokens.sparkSession
+    reference = Reference(rows)
+    words = reference.words()
+    longest = max(map(len, words), default=0)
+
+    def of_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"token": pdf["token"], "keys": [list(typed_keys(t, longest)) for t in pdf["token"]]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ref = Reference(spread.value)
+        for pdf in batches:
+            found = [{w: s for w in ws if (s := ref.stands_for(t, w))} for t, ws in zip(pdf["token"], pdf["words"], strict=True)]
+            yield pd.DataFrame({"token": pdf["token"], "words": [list(f) for f in found], "scores": [list(f.values()) for f in found]})
+
+    spread = spark.sparkContext.broadcast(rows)
+    n = shuffle_partitions(spark)
+    typed = tokens.repartition(n, F.xxhash64("token")).mapInPandas(of_tokens, "token string, keys array<string>").select("token", F.explode("keys").alias("key"))
+    listed = spark.createDataFrame([(w, k) for w in words for k in word_keys(w)], "word string, key string")
+    met = typed.join(listed, "key").groupBy("token").agg(F.sort_array(F.collect_set("word")).alias("words"))
+    return met.mapInPandas(compare, "token string, words array<string>, scores array<double>")
 
 
 def map_values(values: DataFrame, canonical: DataFrame, value: str = "value", key: str = "layer_id", name: str = "canonical_layer", aliases: str = "aliases") -> DataFrame:
     """value, layer_id (-1 if none), score for every distinct value that is not blank."""
     spark = values.sparkSession
-    reference = reference_of(canonical, key, name, aliases)
-    spread = spark.sparkContext.broadcast(reference)
+    rows = reference_rows(canonical, key, name, aliases)
+    spread = spark.sparkContext.broadcast(rows)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(tokens=[value_tokens(v) for v in pdf["value"]])
 
-    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [spread.value.repairs(t) for t in pdf["token"]]
-            yield pd.DataFrame({"token": pdf["token"], "words": [list(f) for f in found], "scores": [list(f.values()) for f in found]})
-
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reference = Reference(spread.value)
         for pdf in batches:
             keys, scores = [], []
             for tokens, table in zip(pdf["tokens"], pdf["repairs"], strict=True):
                 repairs = {r["token"]: dict(zip(r["words"], r["scores"], strict=True)) for r in (table if table is not None else [])}
-                k, s = spread.value.meaning(list(tokens), repairs)
+                k, s = reference.meaning(list(tokens), repairs)
                 keys.append(k)
                 scores.append(round(s, 6))
             yield pd.DataFrame({"value": pdf["value"], key: keys, "score": scores})
@@ -218,11 +276,11 @@ def map_values(values: DataFrame, canonical: DataFrame, value: str = "value", ke
     # stated, so that few distinct values still use all cores; by a hash, as a repetition of the same key would be optimised away
     n = shuffle_partitions(spark)
     distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().repartition(n, F.xxhash64("value"))
-    tokens = distinct.mapInPandas(cut, "value string, tokens array<string>")
-    repaired = tokens.select(F.explode("tokens").alias("token")).distinct().repartition(n, F.xxhash64("token")).mapInPandas(repair, "token string, words array<string>, scores array<double>")
+    tokens = checkpoint(distinct.mapInPandas(cut, "value string, tokens array<string>"))
+    repaired = repaired_tokens(tokens.select(F.explode("tokens").alias("token")).distinct(), rows)
     each = tokens.select("value", "tokens", F.explode_outer(F.array_distinct("tokens")).alias("token")).join(repaired, "token", "left")
     per_value = each.groupBy("value").agg(F.first("tokens").alias("tokens"), F.collect_list(F.when(F.size("words") > 0, F.struct("token", "words", "scores"))).alias("repairs"))
-    return per_value.repartition(n, F.xxhash64("value")).mapInPandas(choose, f"value string, {key} int, score double")
+    return per_value.mapInPandas(choose, f"value string, {key} int, score double")
 
 
 def typed_values(contracts: DataFrame) -> DataFrame:

@@ -79,7 +79,37 @@ ENTRIES = [(1, "WALL", ["Mauer", "墙体"]), (2, "WINDOW", ["Fenster", "fenêtre
 def test_meaning(typed, want):
     ref = cm.Reference(ENTRIES)
     tokens = cm.value_tokens(typed)
-    assert ref.meaning(tokens, {t: ref.repairs(t) for t in tokens})[0] == want
+    repairs = {t: {w: s for w in ref.words() if (s := ref.stands_for(t, w))} for t in tokens}
+    assert ref.meaning(tokens, repairs)[0] == want
+    # what stands for a word shares a join key with it
+    longest = max(map(len, ref.words()))
+    for t, words in repairs.items():
+        assert all(cm.typed_keys(t, longest) & cm.word_keys(w) for w in words)
+
+
+def test_keys_miss_no_similar_word():
+    rng = random.Random(5)
+    words = ["window", "curtain", "wall", "door", "staircase", "kitchen", "equipment", "fenetre", "lift", "oil", "bolt", "column"]
+    for _ in range(6000):
+        w = rng.choice(words)
+        t = list(w)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(t)) if t else 0
+            what = rng.randrange(5)
+            if what == 0 and len(t) > 1:
+                del t[k]
+            elif what == 1:
+                t.insert(k, rng.choice("abcsoil01"))
+            elif what == 2 and t:
+                t[k] = rng.choice("abcsoil01")
+            elif what == 3 and len(t) > 1:
+                t[k - 1], t[k] = t[k], t[k - 1]
+            elif t:
+                t = t[: max(1, len(t) - 1)]
+        token = "".join(t)
+        for x in words:
+            if cm.token_similarity(token, x) >= 0.6:
+                assert cm.typed_keys(token, 9) & cm.word_keys(x), (token, x)
 
 
 def test_map_values(spark):
