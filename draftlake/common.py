@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,20 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is read from the session. Only where it is unset (tests, local
-    runs) a temporary one is chosen, which must not happen on a cluster.
+    It is read from the session. Only where it is unset (tests, local runs) a
+    temporary one is chosen, which must not happen on a cluster.
     """
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = os.path.join(tempfile.gettempdir(), f"draftlake-checkpoints-{os.getuid()}")
+    return shared
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), f"draftlake-checkpoints-{os.getuid()}")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -36,6 +43,22 @@ def stable_hash(*cols: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def numbered_in_order(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """Number of each row (from 1) in the order of the whole table, which must be total.
+
+    The table is cut into ranges of the order, rows are numbered within their range
+    and offset by the counts of the ranges before, so no task sorts more than a range.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    # written, as the ranges are sampled and must not be drawn anew for the counts
+    ranged = checkpoint(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = ranged.withColumn("_rn", inside).join(F.broadcast(offsets), "_part")  # one row per shuffle partition
+    return placed.withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_rn", "_before")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

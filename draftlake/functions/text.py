@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.functions import vectors
+
 # Results must equal those of existing exports.
 INVALID_LABELS = ["", "0", "-1"]
 MAX_LABEL_CHARS = 40
@@ -111,9 +113,14 @@ def pluralise(noun: Column, count: Column) -> Column:
 
 def count_phrase(label: Column, count: Column) -> Column:
     """``3 sofas``, ``1 bedroom``, ``2 furniture items``."""
-    noun = humanise(label)
-    items = F.when(count == 1, F.lit(" furniture item")).otherwise(F.lit(" furniture items"))
-    return F.when(noun == "furniture", F.concat(count.cast("string"), items)).otherwise(F.concat(count.cast("string"), F.lit(" "), pluralise(noun, count)))
+    noun, number = humanise(label), count.cast("string")
+    some = lambda one: F.when(count == 1, F.lit(one)).otherwise(F.lit(one + "s"))
+    furniture = noun.isin("furniture", "installed furniture")
+    return (
+        F.when(furniture, F.concat(number, F.lit(" "), noun, some(" item")))
+        .when(noun.startswith("text "), F.concat(number, F.lit(" "), F.substring(noun, F.lit(6), F.length(noun)), some(" annotation")))
+        .otherwise(F.concat(number, F.lit(" "), pluralise(noun, count)))
+    )
 
 
 def join_english(parts: Column) -> Column:
@@ -134,14 +141,25 @@ def top_inventory(inventory: Column | str, n: int = 4) -> Column:
     return F.slice(F.array_sort(F.transform(kept, lambda e: F.struct((-e["value"]).alias("minus_count"), e["key"].alias("label")))), 1, n)
 
 
-def inventory_text(inventory: Column | str) -> Column:
-    phrases = F.transform(top_inventory(inventory), lambda e: count_phrase(e["label"], -e["minus_count"]))
+def inventory_phrases(inventory: Column | str) -> Column:
+    return F.transform(top_inventory(inventory), lambda e: count_phrase(e["label"], -e["minus_count"]))
+
+
+def listed(phrases: Column) -> Column:
+    """The phrases as one; give a column, not an expression, as it is used several times."""
     return F.when(F.size(phrases) > 0, join_english(phrases)).otherwise(F.lit(NOTHING_TO_LIST))
 
 
+def inventory_text(inventory: Column | str) -> Column:
+    return listed(inventory_phrases(inventory))
+
+
 def adjacency_clause(adjacencies: Column | str) -> Column:
     """Sentence on the first two adjacencies, empty if there is none."""
-    first = F.transform(F.slice(col(adjacencies), 1, 2), humanise)
+    return clause_of(F.transform(F.slice(col(adjacencies), 1, 2), humanise))
+
+
+def clause_of(first: Column) -> Column:
     n = F.size(first)
     return (
         F.when(n == 1, F.concat(F.lit(" Spatially, the "), F.get(first, F.lit(0)), F.lit(".")))
@@ -158,8 +176,21 @@ def query_text(template: Column, density: Column, inventory: Column, clause: Col
         ("In this ", " plan, you can find "),
         ("The drawing shows a ", " arrangement containing "),
     ]
-    whole = [F.concat(F.lit(a), density, F.lit(b), inventory, F.lit("."), clause) for a, b in said]
-    return F.when(template == 0, whole[0]).when(template == 1, whole[1]).when(template == 2, whole[2]).otherwise(whole[3])
+    part = lambda i: F.get(F.array(*(F.lit(s[i]) for s in said)), template.cast("int"))
+    return F.concat(part(0), density, part(1), inventory, F.lit("."), clause)
+
+
+def template_of(plan: Column, seed: int = 42) -> Column:
+    """Which of the four sentences a plan gets, 0 to 3, by a hash of its id and the seed."""
+    return vectors.random_order(plan, seed) % 4
+
+
+def with_queries(attributes: DataFrame, plan: Column, seed: int = 42) -> DataFrame:
+    """``attributes`` with the column query. The phrases and items are columns of their own, so that no step is evaluated for each of its uses."""
+    keep = attributes.columns
+    phrased = attributes.select("*", template_of(plan, seed).alias("_template"), inventory_phrases("inventory").alias("_phrases"), F.transform(F.slice("adjacencies", 1, 2), humanise).alias("_first"))
+    items = phrased.select(*keep, "_template", "_first", listed(F.col("_phrases")).alias("_items"))
+    return items.select(*keep, query_text(F.col("_template"), F.col("density"), F.col("_items"), F.coalesce(clause_of(F.col("_first")), F.lit(""))).alias("query"))
 
 
 def adjacency_sentence(a: Column, b: Column) -> Column:

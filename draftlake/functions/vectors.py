@@ -84,8 +84,14 @@ def ellipse_perimeter(rx: Column, ry: Column) -> Column:
 
 
 def random_order(c: Column, seed: int) -> Column:
-    """Key of a shuffle that other SQL engines can compute too; for ids below 2**31."""
-    return (c.cast("long") % 2147483648 * 2654435761 + seed) % 4294967296
+    """Key of a shuffle in [0, 2**32): the leading digits of a digest of seed and id, which other SQL engines can compute too."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def bedrooms(meta: Column) -> Column:
+    """Bedrooms that a plan's layout summary states, -1 without one."""
+    return F.coalesce(meta["layout_summary"]["bedrooms"], F.lit(-1))
 
 
 def temperature(logit_scale: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from draftlake.common import numbered_in_order
 from draftlake.functions import text, vectors
 from draftlake.operators.shred import latest
 
-WITHOUT_EDGES = ["DIM_LEAD", "PUB_DIM", "AXIS", "WINDOW_TEXT", "PUB_TEXT", "PUB_HATCH"]
+#: Layers between whose nodes no edges are drawn; fixed values.
+WITHOUT_EDGES = ["DIM_LEAD", "PUB_DIM", "AXIS", "layerAXIS", "WINDOW_TEXT", "PUB_TEXT", "PUB_HATCH"]
 #: Labels that say nothing about a neighbourhood; fixed values.
 NOT_ADJACENT = ["wall", "window", "dimension", "room_text"]
 
@@ -19,13 +21,53 @@ def usable(contracts: DataFrame) -> DataFrame:
     return latest(contracts.where("_corrupt_record is null"), "contract_id", F.desc("ingested_at"))
 
 
-def nodes(contracts: DataFrame) -> DataFrame:
-    """contract_id, pos (from 0) and the fields of every node."""
-    return usable(contracts).select("contract_id", F.posexplode("nodes").alias("pos", "n")).select("contract_id", "pos", "n.*")
+def _fields(array: str, fields: tuple[str, ...]) -> Column:
+    """The array of structs with these fields alone, so that the scan reads and the shuffle moves no others."""
+    return F.arrays_zip(*(F.col(f"{array}.{f}").alias(f) for f in fields)).alias(array)
 
 
-def edges(contracts: DataFrame) -> DataFrame:
-    return usable(contracts).select("contract_id", F.posexplode("edges").alias("pos", "e")).select("contract_id", "pos", "e.*")
+def narrowed(contracts: DataFrame, *columns: Column | str) -> DataFrame:
+    """contract_id and ``columns`` of the readable contracts, each contract_id once."""
+    return latest(contracts.where("_corrupt_record is null").select("contract_id", "ingested_at", *columns), "contract_id", F.desc("ingested_at")).drop("ingested_at")
+
+
+def nodes(contracts: DataFrame, *fields: str) -> DataFrame:
+    """contract_id, pos (from 0) and the given fields of every node."""
+    return narrowed(contracts, _fields("nodes", fields)).select("contract_id", F.posexplode("nodes").alias("pos", "n")).select("contract_id", "pos", "n.*")
+
+
+def edges(contracts: DataFrame, *fields: str) -> DataFrame:
+    return narrowed(contracts, _fields("edges", fields)).select("contract_id", F.posexplode("edges").alias("pos", "e")).select("contract_id", "pos", "e.*")
+
+
+def edge_ends(contracts: DataFrame, fields: tuple[str, ...], edge_fields: tuple[str, ...] = ()) -> DataFrame:
+    """contract_id, pos, edge, a, b of every edge between nodes that exist: a and b hold pos and ``fields`` of its source and target.
+
+    Nodes and edges are read in one pass and meet within the partitioning by contract, without
+    another shuffle: they are rows of one table, an edge once for each end, and a
+    window over an id hands the node on. Of a repeated id the last node counts.
+    """
+    held = narrowed(contracts, _fields("nodes", ("id", *fields)), _fields("edges", ("source", "target", *edge_fields)))
+    node = lambda n, i: F.struct(i.cast("int").alias("pos"), *(n[f].alias(f) for f in fields))
+    edge = lambda e: F.struct(*(e[f].alias(f) for f in ("source", "target", *edge_fields)))
+    kinds = {f.name: f.dataType for f in held.schema.fields}
+    node_type = ", ".join(["pos: int", *(f"{f.name}: {f.dataType.simpleString()}" for f in kinds["nodes"].elementType.fields if f.name != "id")])
+    edge_type = kinds["edges"].elementType.simpleString()
+    row = lambda kind, i, key, n, e: F.struct(
+        F.lit(kind).alias("kind"), i.cast("int").alias("pos"), key.alias("id"), (F.lit(None) if n is None else n).cast(f"struct<{node_type}>").alias("node"), (F.lit(None) if e is None else e).cast(edge_type).alias("edge")
+    )
+    none = F.array().cast(f"array<struct<kind:string,pos:int,id:string,node:struct<{node_type}>,edge:{edge_type}>>")
+    every = F.concat(
+        F.coalesce(F.transform("nodes", lambda n, i: row("n", i, n["id"], node(n, i), None)), none),
+        F.coalesce(F.transform("edges", lambda e, i: row("a", i, e["source"], None, edge(e))), none),
+        F.coalesce(F.transform("edges", lambda e, i: row("b", i, e["target"], None, None)), none),
+    )
+    # explode would build the arrays twice, to filter out the empty ones beforehand
+    rows = held.select("contract_id", F.explode_outer(every).alias("r")).where("r is not null").select("contract_id", "r.*").where("id is not null")
+    found = rows.withColumn("at", F.max(F.when(F.col("kind") == "n", F.col("node"))).over(Window.partitionBy("contract_id", "id"))).where("kind <> 'n' and at is not null")
+    end = lambda k: F.max(F.when(F.col("kind") == k, F.col("at")))
+    both = found.groupBy("contract_id", "pos").agg(end("a").alias("a"), end("b").alias("b"), F.max("edge").alias("edge"))
+    return both.where("a is not null and b is not null")
 
 
 def label_inventory(node_rows: DataFrame) -> DataFrame:
@@ -46,10 +88,15 @@ def low_signal(inventory: DataFrame, least: int = 2) -> DataFrame:
 def adjacency_pairs(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """contract_id, label_a, label_b, sentence: distinct unordered pairs of labels joined by an edge."""
     # of a repeated id the last node counts
-    labels = node_rows.groupBy("contract_id", "id").agg(F.max_by(F.struct("semantic_label"), "pos").alias("l")).select("contract_id", "id", text.clean_label("l.semantic_label").alias("label"))
-    labels = labels.where(F.col("label").isNotNull() & ~F.col("label").isin(NOT_ADJACENT))
-    a = edge_rows.join(labels.select("contract_id", F.col("id").alias("source"), F.col("label").alias("a")), ["contract_id", "source"])
-    both = a.join(labels.select("contract_id", F.col("id").alias("target"), F.col("label").alias("b")), ["contract_id", "target"]).where("a <> b")
+    labels = node_rows.groupBy("contract_id", "id").agg(F.max_by(F.struct("semantic_label"), "pos").alias("l")).select("contract_id", "id", "l.semantic_label")
+    a = edge_rows.join(labels.select("contract_id", F.col("id").alias("source"), F.col("semantic_label").alias("a")), ["contract_id", "source"])
+    return label_pairs(a.join(labels.select("contract_id", F.col("id").alias("target"), F.col("semantic_label").alias("b")), ["contract_id", "target"]))
+
+
+def label_pairs(ends: DataFrame) -> DataFrame:
+    """adjacency_pairs of edges whose ends have the labels a and b."""
+    clean = ends.select("contract_id", text.clean_label("a").alias("a"), text.clean_label("b").alias("b"))
+    both = clean.where("a <> b").where(~F.col("a").isin(NOT_ADJACENT) & ~F.col("b").isin(NOT_ADJACENT))
     return both.select("contract_id", F.least("a", "b").alias("label_a"), F.greatest("a", "b").alias("label_b"), text.adjacency_sentence(F.col("a"), F.col("b")).alias("sentence")).distinct()
 
 
@@ -73,13 +120,17 @@ def symbols(node_rows: DataFrame) -> DataFrame:
 
 
 def density(contracts: DataFrame) -> DataFrame:
-    n = F.coalesce(F.size("nodes"), F.lit(0))
-    return usable(contracts).select("contract_id", n.alias("n_nodes"), vectors.density(n).alias("density"))
+    return node_counts(contracts).select("contract_id", "n_nodes", vectors.density(F.col("n_nodes")).alias("density"))
+
+
+def node_counts(contracts: DataFrame) -> DataFrame:
+    """contract_id, n_nodes of the readable contracts."""
+    return narrowed(contracts, F.coalesce(F.size("nodes.id"), F.lit(0)).alias("n_nodes"))
 
 
 def node_count_stats(contracts: DataFrame) -> DataFrame:
     """Least, upper median and largest number of nodes. The median is read off the histogram of sizes, not off a list of all graphs."""
-    sizes = usable(contracts).select(F.coalesce(F.size("nodes"), F.lit(0)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("graphs"))
+    sizes = node_counts(contracts).select(F.col("n_nodes").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("graphs"))
     w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     upto = sizes.withColumn("upto", F.sum("graphs").over(w)).withColumn("all", F.sum("graphs").over(Window.partitionBy()))
     return upto.agg(F.min("n").alias("min_nodes"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))).alias("median_nodes"), F.max("n").alias("max_nodes"), F.sum("graphs").alias("n_graphs"))
@@ -88,10 +139,11 @@ def node_count_stats(contracts: DataFrame) -> DataFrame:
 def vocabulary(node_rows: DataFrame, column: str, unknown: str) -> DataFrame:
     """value, index: values in the order in which they are first seen; ``unknown`` is 0.
 
-    One row per distinct value reaches the final numbering.
+    One row per distinct value reaches the final numbering, which goes by ranges of the order.
     """
     seen = node_rows.where(F.col(column).isNotNull() & (F.col(column) != unknown)).groupBy(F.col(column).alias("value")).agg(F.min(F.struct("contract_id", "pos")).alias("first"))
-    numbered = seen.select("value", F.row_number().over(Window.orderBy("first", "value")).alias("index"))
+    flat = seen.select("value", F.col("first.contract_id").alias("c"), F.col("first.pos").alias("p"))
+    numbered = numbered_in_order(flat, [F.col("c"), F.col("p"), F.col("value")]).select("value", F.col("rn").cast("int").alias("index"))
     return numbered.unionByName(node_rows.sparkSession.createDataFrame([(unknown, 0)], "value string, index int"))
 
 
@@ -132,7 +184,11 @@ def directed_edges(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Both directions of every edge between nodes that exist, by node position, with distance and relation id."""
     ids = node_rows.groupBy("contract_id", "id").agg(F.max("pos").alias("node"))
     a = edge_rows.join(ids.select("contract_id", F.col("id").alias("source"), F.col("node").alias("a")), ["contract_id", "source"])
-    both = a.join(ids.select("contract_id", F.col("id").alias("target"), F.col("node").alias("b")), ["contract_id", "target"])
+    return both_ways(a.join(ids.select("contract_id", F.col("id").alias("target"), F.col("node").alias("b")), ["contract_id", "target"]))
+
+
+def both_ways(both: DataFrame) -> DataFrame:
+    """directed_edges of edges (contract_id, pos, distance, relation) between the node positions a and b."""
     ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
     return both.select("contract_id", "pos", F.coalesce("distance", F.lit(0.0)).alias("distance"), vectors.relation_id(F.col("relation")).alias("relation_id"), ends.alias("x")).select(
         "contract_id", "pos", "x.src", "x.dst", "distance", "relation_id"
@@ -156,8 +212,8 @@ def segment_summary(node_rows: DataFrame) -> DataFrame:
         *(F.greatest(x(F.max, "start", i), x(F.max, "end", i)).alias(f"max_{n}") for i, n in enumerate("xy")),
     )
     return size.join(dominant, ["contract_id", "pos"]).select(
-        "contract_id", "pos", "dominant_type", F.round("total_length", 6).alias("total_length"), "min_x", "min_y", "max_x", "max_y",
-        F.round((F.col("min_x") + F.col("max_x")) / 2, 6).alias("center_x"), F.round((F.col("min_y") + F.col("max_y")) / 2, 6).alias("center_y"),
+        "contract_id", "pos", "dominant_type", F.bround("total_length", 6).alias("total_length"), "min_x", "min_y", "max_x", "max_y",
+        F.bround((F.col("min_x") + F.col("max_x")) / 2, 6).alias("center_x"), F.bround((F.col("min_y") + F.col("max_y")) / 2, 6).alias("center_y"),
     )
 
 

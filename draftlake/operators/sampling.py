@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from draftlake.common import numbered_in_order
 from draftlake.functions.vectors import random_order
 
 
@@ -63,6 +64,30 @@ def holdout_split(rows: DataFrame, id_col: str, ratio: float, seed: int = 42) ->
     return base.crossJoin(F.broadcast(size)).select("id", F.when(F.col("rn") <= F.col("cut"), F.lit("train")).otherwise(F.lit("val")).alias("split"))  # one row
 
 
+def random_holdout(rows: DataFrame, id_col: str, share: float, seed: int = 42) -> DataFrame:
+    """id, split: val of max(1, int(N * share)) rows at random, the rest is train."""
+    key = random_order(F.col(id_col), seed)
+    base = numbered(rows.select(F.col(id_col).alias("id"), key.alias("key")), [F.col("key"), F.col("id")], key=F.col("key"))
+    size = rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(share))).alias("n_val"))
+    return base.crossJoin(F.broadcast(size)).select("id", F.when(F.col("rn") <= F.col("n_val"), F.lit("val")).otherwise(F.lit("train")).alias("split"))  # one row
+
+
+def first_records(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in a given order (a limit is the feature here)."""
+    return rows.orderBy(*order).limit(n)
+
+
+def full_batches(batches: DataFrame, least: int = 2) -> DataFrame:
+    """Rows of the batches that hold at least ``least`` of them; a loss over pairs needs two."""
+    kept = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("batch")
+    return batches.join(kept, "batch", "left_semi")
+
+
+def saved_sides(saved: DataFrame, current: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, split of the saved (id, split) rows whose id is among the current records; unknown ids are dropped, repeated ones count once."""
+    return saved.select("id", "split").distinct().join(current.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+
+
 def subset(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows at random without replacement (a sample is the feature here)."""
     key = random_order(F.col(id_col), seed)
@@ -87,12 +112,9 @@ def balanced_batches(rows: DataFrame, id_col: str, category: Column, batch_size:
 def chunk_batches(sizes: DataFrame, batch_size: int) -> DataFrame:
     """id, n, batch: rows in the order of size, cut into chunks of batch_size.
 
-    Rows of equal size are numbered apart and offset by the histogram of sizes.
+    The order is numbered by ranges, so equal sizes, however many, are several tasks.
     """
-    before = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).select("n", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy("id"))
-    return sizes.withColumn("rn", inside).join(offsets, "n").select("id", "n", F.floor((F.col("before") + F.col("rn") - 1) / batch_size).alias("batch"))
+    return numbered_in_order(sizes.select("id", "n"), [F.col("n"), F.col("id")]).select("id", "n", F.floor((F.col("rn") - 1) / batch_size).alias("batch"))
 
 
 def next_fit_batches(sizes: DataFrame, most_nodes: int, most_graphs: int) -> DataFrame:
@@ -132,8 +154,11 @@ def next_fit_batches(sizes: DataFrame, most_nodes: int, most_graphs: int) -> Dat
         yield pd.DataFrame(out, columns=["size", "begin", "count", "batch", "per"])
 
     runs = counts.coalesce(1).mapInPandas(fold, "size long, begin long, count long, batch long, per long")
-    nth = F.row_number().over(Window.partitionBy(F.greatest("n", F.lit(1))).orderBy("n", "id")) - 1
-    placed = sizes.withColumn("size", F.greatest("n", F.lit(1))).withColumn("nth", nth).join(runs, "size").where((F.col("nth") >= F.col("begin")) & (F.col("nth") < F.col("begin") + F.col("count")))
+    # the place among equal sizes follows from the place in the whole order and the histogram of sizes
+    before = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("size", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    placed = numbered_in_order(sizes.select("id", "n", F.greatest("n", F.lit(1)).alias("size")), [F.col("size"), F.col("n"), F.col("id")])
+    placed = placed.join(offsets, "size").withColumn("nth", F.col("rn") - 1 - F.col("before")).join(runs, "size").where((F.col("nth") >= F.col("begin")) & (F.col("nth") < F.col("begin") + F.col("count")))
     return placed.select("id", "n", (F.col("batch") + F.floor((F.col("nth") - F.col("begin")) / F.col("per"))).alias("batch"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from draftlake.common import checkpoint
 from draftlake.functions import text, vectors
 
 QUERY_BLOCK = 8_192
@@ -112,6 +113,9 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 10, digits: int = 6, dr
             yield pd.DataFrame({"query_id": ids[at], "row": row, "score": score})
 
         part = index.select(F.col("row").cast("long").alias("row"), vectors.as_double(F.col("embedding")).alias("embedding")).mapInPandas(run, "query_id long, row long, score double")
+        if n_blocks > 1:  # answers are written block by block, so that one block at a time is held
+            part = checkpoint(part)
+            spread.destroy()
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return spark.createDataFrame([], "query_id long, row long, score double, rank int")
@@ -149,16 +153,24 @@ def rank_of(queries: DataFrame, index: DataFrame, digits: int = 6) -> DataFrame:
             yield pd.DataFrame({"query_id": ids, "better": better})
 
         one = index.select(F.col("row").cast("long").alias("row"), vectors.as_double(F.col("embedding")).alias("embedding")).mapInPandas(run, "query_id long, better long")
+        if n_blocks > 1:
+            one = checkpoint(one.groupBy("query_id").agg(F.sum("better").alias("better")))
+            spread.destroy()
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         return spark.createDataFrame([], "query_id long, rank long")
     return parts.groupBy("query_id").agg((F.sum("better") + 1).alias("rank"))
 
 
-def by_plan(index: DataFrame, plans: DataFrame) -> DataFrame:
-    """requested id, row and vector of plans named with or without ``.svg``; of a plan with several rows the last counts."""
+def by_plan(index: DataFrame, plans: DataFrame, strict: bool = True) -> DataFrame:
+    """requested id, row and vector of plans named with or without ``.svg``; of a plan with several rows the last counts.
+
+    An id that the index doesn't hold raises when the result is read; without ``strict`` it is left out.
+    """
     last = index.groupBy(text.strip_svg("floor_plan_id").alias("key")).agg(F.max("row_no").alias("row_no"), F.max_by("embedding", "row_no").alias("embedding"))
-    return plans.select(F.col("floor_plan_id").alias("requested"), text.strip_svg("floor_plan_id").alias("key")).join(last, "key").select("requested", "row_no", "embedding")
+    joined = plans.select(F.col("floor_plan_id").alias("requested"), text.strip_svg("floor_plan_id").alias("key")).join(last, "key", "left" if strict else "inner")
+    missing = F.raise_error(F.concat(F.lit("no vector of the plan "), F.coalesce("requested", F.lit("(null)")))).cast("long")
+    return joined.select("requested", F.coalesce("row_no", missing).alias("row_no") if strict else "row_no", "embedding")
 
 
 def integrity(index: DataFrame, dim: int) -> DataFrame:

@@ -21,7 +21,7 @@ def ingest_drawings(spark: SparkSession, folder: str, epsilon: float = 0.5, most
     nodes = elements.where("pos is not null")
     widest = F.greatest(F.get("viewbox", F.lit(2)), F.get("viewbox", F.lit(3)))
     points = ct.structural(nodes).select(F.col("plan_id").alias("plan"), F.col("pos").alias("i"), "layer", "start", "end", F.when(widest > 0, epsilon / widest).otherwise(F.lit(epsilon)).alias("eps"))
-    kept = proximity.with_relation(proximity.capped_pairs(proximity.near_pairs(points), most_edges), points)
+    kept = proximity.with_relation(proximity.capped_pairs(proximity.near_pairs(points), most_edges))
     name = lambda c: F.format_string("n%05d", F.col(c))
     edges = kept.select(F.col("plan").alias("plan_id"), F.struct("i", "j").alias("pos"), name("i").alias("source"), name("j").alias("target"), "relation", F.bround("distance", 6).alias("distance"))
     label = F.coalesce(F.get(F.array(*map(F.lit, svg.SEMANTIC_LABELS)), F.col("semantic_id")), F.concat(F.lit("class_"), F.col("semantic_id")))
@@ -41,9 +41,7 @@ def plan_attributes(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 def query_pairs(attributes: DataFrame, plan: Column, seed: int = 42) -> DataFrame:
     """floor_plan_id, query, scale_bucket, template_type of every plan."""
-    template = F.pmod(F.xxhash64(plan, F.lit(seed)), F.lit(4))
-    query = text.query_text(template, F.col("density"), text.inventory_text("inventory"), text.adjacency_clause("adjacencies"))
-    return attributes.select(plan.alias("floor_plan_id"), query.alias("query"), vectors.scale_bucket(F.try_element_at("inventory", F.lit("bed"))).alias("scale_bucket"), F.lit("dynamic").alias("template_type"))
+    return text.with_queries(attributes, plan, seed).select(plan.alias("floor_plan_id"), "query", vectors.scale_bucket(F.try_element_at("inventory", F.lit("bed"))).alias("scale_bucket"), F.lit("dynamic").alias("template_type"))
 
 
 def retrieve(queries: DataFrame, index: DataFrame, top_k: int = 5, vectoriser: Vectoriser = encoder.hashed_words) -> DataFrame:

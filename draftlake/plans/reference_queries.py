@@ -39,22 +39,18 @@ l AS (SELECT contract_id, pos, id, CASE WHEN t IN ('', '0', '-1') OR length(t) >
 """
 
 
-def _nodes(s: SparkSession, d: str) -> DataFrame:
-    return ct.nodes(table(s, d, "contracts"))
-
-
-def _edges(s: SparkSession, d: str) -> DataFrame:
-    return ct.edges(table(s, d, "contracts"))
+def _nodes(s: SparkSession, d: str, *fields: str) -> DataFrame:
+    return ct.nodes(table(s, d, "contracts"), *fields)
 
 
 @query(C + "SELECT contract_id, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY 1, 2")
 def label_inventory(s: SparkSession, d: str) -> DataFrame:
-    return ct.label_inventory(_nodes(s, d))
+    return ct.label_inventory(_nodes(s, d, "semantic_label"))
 
 
 @query(C + "SELECT contract_id, count(DISTINCT label) AS n_labels FROM l WHERE label IS NOT NULL GROUP BY 1 HAVING count(DISTINCT label) >= 2")
 def low_signal_filter(s: SparkSession, d: str) -> DataFrame:
-    return ct.low_signal(ct.label_inventory(_nodes(s, d)))
+    return ct.low_signal(ct.label_inventory(_nodes(s, d, "semantic_label")))
 
 
 @query(
@@ -63,13 +59,13 @@ def low_signal_filter(s: SparkSession, d: str) -> DataFrame:
 SELECT raw, length(t) > 40 OR regexp_matches(t, re) AS garbage FROM g, garbage WHERE raw IS NOT NULL"""
 )
 def garbage_filter(s: SparkSession, d: str) -> DataFrame:
-    raw = _nodes(s, d).select(F.col("semantic_label").alias("raw")).where("raw is not null").distinct()
+    raw = _nodes(s, d, "semantic_label").select(F.col("semantic_label").alias("raw")).where("raw is not null").distinct()
     return raw.select("raw", text.is_garbage_label(F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("garbage"))
 
 
 @query(C + "SELECT contract_id, layer, count(*) AS n FROM n GROUP BY 1, 2")
 def layer_counts(s: SparkSession, d: str) -> DataFrame:
-    return ct.layer_counts(_nodes(s, d))
+    return ct.layer_counts(_nodes(s, d, "layer"))
 
 
 @query(
@@ -79,7 +75,7 @@ r AS (SELECT contract_id, semantic_id, row_number() OVER (PARTITION BY contract_
 SELECT a.contract_id, coalesce(r.semantic_id + 1, 0) AS graph_label FROM (SELECT DISTINCT contract_id FROM n) a LEFT JOIN r ON r.contract_id = a.contract_id AND rn = 1"""
 )
 def mode_label(s: SparkSession, d: str) -> DataFrame:
-    return ct.graph_label(_nodes(s, d))
+    return ct.graph_label(_nodes(s, d, "semantic_id"))
 
 
 @query(
@@ -88,7 +84,7 @@ def mode_label(s: SparkSession, d: str) -> DataFrame:
 FROM n WHERE semantic_id <> -1 AND instance_id <> -1 GROUP BY 1, 3, 4"""
 )
 def symbol_grouping(s: SparkSession, d: str) -> DataFrame:
-    return ct.symbols(_nodes(s, d)).withColumn("node_ids", F.array_join("node_ids", " ")).withColumn("node_count", F.col("node_count").cast("long"))
+    return ct.symbols(_nodes(s, d, "id", "semantic_id", "instance_id")).withColumn("node_ids", F.array_join("node_ids", " ")).withColumn("node_count", F.col("node_count").cast("long"))
 
 
 @query(
@@ -99,7 +95,8 @@ SELECT DISTINCT contract_id, least(x, y) AS label_a, greatest(x, y) AS label_b,
 FROM j WHERE x <> y AND x <> '' AND y <> '' AND x NOT IN ('wall', 'window', 'dimension', 'room_text') AND y NOT IN ('wall', 'window', 'dimension', 'room_text')"""
 )
 def unordered_adjacency(s: SparkSession, d: str) -> DataFrame:
-    return ct.adjacency_pairs(_nodes(s, d), _edges(s, d))
+    ends = ct.edge_ends(table(s, d, "contracts"), ("semantic_label",))
+    return ct.label_pairs(ends.select("contract_id", F.col("a.semantic_label").alias("a"), F.col("b.semantic_label").alias("b")))
 
 
 @query(
@@ -126,7 +123,7 @@ def node_count_stats(s: SparkSession, d: str) -> DataFrame:
 SELECT value, CAST(row_number() OVER (ORDER BY first.c, first.p, value) AS INT) AS index FROM f UNION ALL SELECT 'UNK', 0"""
 )
 def vocab_first_seen(s: SparkSession, d: str) -> DataFrame:
-    return ct.vocabulary(_nodes(s, d), "layer", "UNK")
+    return ct.vocabulary(_nodes(s, d, "layer"), "layer", "UNK")
 
 
 _G = "coalesce(nullif(list_position(['line', 'arc', 'curve', 'circle', 'ellipse', 'text', 'other'], coalesce(geometry_type, 'other')), 0) - 1, 6)"
@@ -139,12 +136,12 @@ coalesce(features.bbox[1], 0) AS bbox_0, coalesce(features.bbox[2], 0) AS bbox_1
 CAST(coalesce(instance_id, -1) <> -1 AS DOUBLE) AS is_instance, CAST(coalesce(semantic_id, -1) AS DOUBLE) AS semantic, CAST({_G} AS INT) AS geometry FROM n"""
 )
 def feature_vector(s: SparkSession, d: str) -> DataFrame:
-    return ct.node_features(_nodes(s, d))
+    return ct.node_features(_nodes(s, d, "features", "instance_id", "semantic_id", "geometry_type"))
 
 
 @query(C + f"SELECT contract_id, {', '.join(f'CAST(sum(CASE WHEN {_G} = {i} THEN 1 ELSE 0 END) AS BIGINT) AS g{i}' for i in range(7))} FROM n GROUP BY 1")
 def one_hot(s: SparkSession, d: str) -> DataFrame:
-    hot = _nodes(s, d).select("contract_id", vectors.one_hot(vectors.geometry_index(F.coalesce("geometry_type", F.lit("other"))), 7).alias("h"))
+    hot = _nodes(s, d, "geometry_type").select("contract_id", vectors.one_hot(vectors.geometry_index(F.coalesce("geometry_type", F.lit("other"))), 7).alias("h"))
     return hot.groupBy("contract_id").agg(*(F.sum(F.get("h", F.lit(i))).cast("long").alias(f"g{i}") for i in range(7)))
 
 
@@ -157,7 +154,8 @@ SELECT contract_id, CAST(sum(distance) AS DOUBLE) AS sum_distance, count(*) AS n
   SELECT contract_id, a AS src, b AS dst, distance, relation_id FROM b UNION ALL SELECT contract_id, b, a, distance, relation_id FROM b) GROUP BY 1""".replace("CAST(sum(distance) AS DOUBLE)", "round(CAST(sum(distance) AS DOUBLE), 5)")
 )
 def edge_bidirectional(s: SparkSession, d: str) -> DataFrame:
-    both = ct.directed_edges(_nodes(s, d), _edges(s, d))
+    ends = ct.edge_ends(table(s, d, "contracts"), (), ("distance", "relation"))
+    both = ct.both_ways(ends.select("contract_id", "pos", "edge.distance", "edge.relation", F.col("a.pos").alias("a"), F.col("b.pos").alias("b")))
     return both.groupBy("contract_id").agg(
         F.round(F.sum("distance"), 5).alias("sum_distance"), F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("src") * 7 + F.col("dst") * 13 + F.col("relation_id")).cast("long").alias("checksum")
     )
@@ -170,33 +168,31 @@ SELECT e.contract_id, e.pos, CASE WHEN (s.layer LIKE '%WALL%' AND t.layer LIKE '
 FROM e JOIN i s ON s.contract_id = e.contract_id AND s.id = e.source JOIN i t ON t.contract_id = e.contract_id AND t.id = e.target"""
 )
 def edge_relation_type(s: SparkSession, d: str) -> DataFrame:
-    layers = _nodes(s, d).groupBy("contract_id", "id").agg(F.max_by(F.coalesce("layer", F.lit("")), "pos").alias("layer"))
-    a = _edges(s, d).select("contract_id", "pos", "source", "target").join(layers.select("contract_id", F.col("id").alias("source"), F.col("layer").alias("la")), ["contract_id", "source"])
-    both = a.join(layers.select("contract_id", F.col("id").alias("target"), F.col("layer").alias("lb")), ["contract_id", "target"])
-    return both.select("contract_id", "pos", vectors.relation(F.col("la"), F.col("lb")).alias("relation"))
+    ends = ct.edge_ends(table(s, d, "contracts"), ("layer",))
+    return ends.select("contract_id", "pos", vectors.relation(F.coalesce("a.layer", F.lit("")), F.coalesce("b.layer", F.lit(""))).alias("relation"))
 
 
-@query(C + "SELECT contract_id, count(*) AS n FROM n WHERE coalesce(layer, '') NOT IN ('DIM_LEAD', 'PUB_DIM', 'AXIS', 'WINDOW_TEXT', 'PUB_TEXT', 'PUB_HATCH') AND coalesce(geometry_type, '') <> 'text' GROUP BY 1")
+@query(C + "SELECT contract_id, count(*) AS n FROM n WHERE coalesce(layer, '') NOT IN ('DIM_LEAD', 'PUB_DIM', 'AXIS', 'layerAXIS', 'WINDOW_TEXT', 'PUB_TEXT', 'PUB_HATCH') AND coalesce(geometry_type, '') <> 'text' GROUP BY 1")
 def structural_nodes(s: SparkSession, d: str) -> DataFrame:
-    return ct.structural(_nodes(s, d)).groupBy("contract_id").agg(F.count(F.lit(1)).alias("n"))
+    return ct.structural(_nodes(s, d, "layer", "geometry_type")).groupBy("contract_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SEG = """, g AS (SELECT contract_id, pos, k, s.* FROM (SELECT contract_id, pos, unnest(segments) AS s, generate_subscripts(segments, 1) AS k FROM n)),
 ty AS (SELECT contract_id, pos, type, count(*) AS c, min(k) AS first FROM g GROUP BY 1, 2, 3),
 dom AS (SELECT contract_id, pos, type AS dominant_type FROM (SELECT *, row_number() OVER (PARTITION BY contract_id, pos ORDER BY c DESC, first) AS rn FROM ty) WHERE rn = 1),
-sz AS (SELECT contract_id, pos, round(sum(length), 6) AS total_length, least(min(start[1]), min("end"[1])) AS min_x, least(min(start[2]), min("end"[2])) AS min_y,
+sz AS (SELECT contract_id, pos, round_even(sum(length), 6) AS total_length, least(min(start[1]), min("end"[1])) AS min_x, least(min(start[2]), min("end"[2])) AS min_y,
   greatest(max(start[1]), max("end"[1])) AS max_x, greatest(max(start[2]), max("end"[2])) AS max_y FROM g GROUP BY 1, 2)
-SELECT contract_id, pos, dominant_type, total_length, min_x, min_y, max_x, max_y, round((min_x + max_x) / 2, 6) AS center_x, round((min_y + max_y) / 2, 6) AS center_y FROM sz JOIN dom USING (contract_id, pos)"""
+SELECT contract_id, pos, dominant_type, total_length, min_x, min_y, max_x, max_y, round_even((min_x + max_x) / 2, 6) AS center_x, round_even((min_y + max_y) / 2, 6) AS center_y FROM sz JOIN dom USING (contract_id, pos)"""
 
 
 @query(C + _SEG)
 def bbox_center(s: SparkSession, d: str) -> DataFrame:
-    return ct.segment_summary(_nodes(s, d))
+    return ct.segment_summary(_nodes(s, d, "segments"))
 
 
 @query(C + _SEG.rpartition("SELECT contract_id, pos, dominant_type, total")[0] + "SELECT dominant_type, count(*) AS n_nodes FROM dom GROUP BY 1")
 def dominant_label(s: SparkSession, d: str) -> DataFrame:
-    return ct.segment_summary(_nodes(s, d)).groupBy("dominant_type").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return ct.segment_summary(_nodes(s, d, "segments")).groupBy("dominant_type").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 _D = " least({}) ".format(", ".join(f"sqrt(power(s.p.{a}[1] - t.p.{b}[1], 2) + power(s.p.{a}[2] - t.p.{b}[2], 2))" for a in ('"start"', '"end"') for b in ('"start"', '"end"')))
@@ -204,39 +200,38 @@ _D = " least({}) ".format(", ".join(f"sqrt(power(s.p.{a}[1] - t.p.{b}[1], 2) + p
 
 @query(
     C
-    + f""", i AS (SELECT contract_id, id, arg_max(endpoints, pos) AS p FROM n WHERE endpoints IS NOT NULL GROUP BY 1, 2)
-SELECT e.contract_id, e.pos, round({_D}, 6) AS distance FROM e JOIN i s ON s.contract_id = e.contract_id AND s.id = e.source JOIN i t ON t.contract_id = e.contract_id AND t.id = e.target"""
+    + f""", i AS (SELECT contract_id, id, arg_max({{'p': endpoints}}, pos).p AS p FROM n GROUP BY 1, 2)
+SELECT e.contract_id, e.pos, round({_D}, 6) AS distance FROM e JOIN i s ON s.contract_id = e.contract_id AND s.id = e.source JOIN i t ON t.contract_id = e.contract_id AND t.id = e.target WHERE s.p IS NOT NULL AND t.p IS NOT NULL"""
 )
 def endpoint_min_distance(s: SparkSession, d: str) -> DataFrame:
-    ends = _nodes(s, d).where("endpoints is not null").groupBy("contract_id", "id").agg(F.max_by("endpoints", "pos").alias("p"))
-    a = _edges(s, d).select("contract_id", "pos", "source", "target").join(ends.select("contract_id", F.col("id").alias("source"), F.col("p").alias("a")), ["contract_id", "source"])
-    both = a.join(ends.select("contract_id", F.col("id").alias("target"), F.col("p").alias("b")), ["contract_id", "target"])
-    return both.select("contract_id", "pos", F.round(vectors.endpoint_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+    ends = ct.edge_ends(table(s, d, "contracts"), ("endpoints",)).where("a.endpoints is not null and b.endpoints is not null")
+    return ends.select("contract_id", "pos", F.round(vectors.endpoint_distance(F.col("a.endpoints"), F.col("b.endpoints")), 6).alias("distance"))
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
-    held = ct.usable(table(s, d, "contracts"))
-    return proximity.contract_points(ct.structural(_nodes(s, d)), held)
+    fields = ("layer", "geometry_type", "endpoints")
+    held = ct.narrowed(table(s, d, "contracts"), F.col("metadata.viewbox").alias("viewbox"), F.col("metadata.epsilon").alias("epsilon"), F.arrays_zip(*(F.col(f"nodes.{f}").alias(f) for f in fields)).alias("nodes"))
+    rows = held.select("contract_id", "viewbox", "epsilon", F.posexplode("nodes").alias("pos", "n")).select("contract_id", "viewbox", "epsilon", "pos", "n.*")
+    return proximity.contract_points(ct.structural(rows))
 
 
 @query(
     C
     + """, v AS (SELECT contract_id, coalesce(metadata.epsilon, 0.5) AS eps, coalesce(metadata.viewbox[1], 0) AS x0, coalesce(metadata.viewbox[2], 0) AS y0, coalesce(metadata.viewbox[3], 100) AS w, coalesce(metadata.viewbox[4], 100) AS h FROM c),
 pt AS (SELECT n.contract_id, n.pos, layer, (endpoints."start"[1] - x0) / w AS sx, (endpoints."start"[2] - y0) / h AS sy, (endpoints."end"[1] - x0) / w AS ex, (endpoints."end"[2] - y0) / h AS ey, eps / greatest(w, h) AS eps
-  FROM n JOIN v USING (contract_id) WHERE coalesce(layer, '') NOT IN ('DIM_LEAD', 'PUB_DIM', 'AXIS', 'WINDOW_TEXT', 'PUB_TEXT', 'PUB_HATCH') AND coalesce(geometry_type, '') <> 'text'
+  FROM n JOIN v USING (contract_id) WHERE coalesce(layer, '') NOT IN ('DIM_LEAD', 'PUB_DIM', 'AXIS', 'layerAXIS', 'WINDOW_TEXT', 'PUB_TEXT', 'PUB_HATCH') AND coalesce(geometry_type, '') <> 'text'
   AND endpoints."start"[2] IS NOT NULL AND endpoints."end"[2] IS NOT NULL),
 d AS (SELECT a.contract_id AS plan, a.pos AS i, b.pos AS j, a.eps, least(sqrt((a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy)), sqrt((a.sx-b.ex)*(a.sx-b.ex)+(a.sy-b.ey)*(a.sy-b.ey)), sqrt((a.ex-b.sx)*(a.ex-b.sx)+(a.ey-b.sy)*(a.ey-b.sy)), sqrt((a.ex-b.ex)*(a.ex-b.ex)+(a.ey-b.ey)*(a.ey-b.ey))) AS distance
   FROM pt a JOIN pt b ON a.contract_id = b.contract_id AND a.pos < b.pos)
 SELECT plan, i, j, round(distance, 6) AS distance FROM d WHERE distance <= eps"""
 )
 def proximity_edges(s: SparkSession, d: str) -> DataFrame:
-    return proximity.near_pairs(_points(s, d)).withColumn("distance", F.round("distance", 6))
+    return proximity.near_pairs(_points(s, d)).select("plan", "i", "j", F.round("distance", 6).alias("distance"))
 
 
 @query()
 def proximity_edges_capped(s: SparkSession, d: str) -> DataFrame:
-    points = _points(s, d)
-    return proximity.with_relation(proximity.capped_pairs(proximity.near_pairs(points)), points).withColumn("distance", F.round("distance", 6))
+    return proximity.with_relation(proximity.capped_pairs(proximity.near_pairs(_points(s, d)))).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT contract_id, count(*) AS n_copies FROM contracts WHERE _corrupt_record IS NOT NULL GROUP BY 1")
@@ -256,20 +251,13 @@ def batch_counters(s: SparkSession, d: str) -> DataFrame:
 SELECT kv.key AS key, count(*) AS n, count(DISTINCT kv.value) AS n_values FROM a WHERE geometry_type = 'text' OR kv.key NOT IN ('d', 'semantic-id', 'instance-id') GROUP BY 1"""
 )
 def attribute_exclusion(s: SparkSession, d: str) -> DataFrame:
-    return ct.free_attributes(_nodes(s, d)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
+    return ct.free_attributes(_nodes(s, d, "geometry_type", "raw_attributes")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
 
 
-@query(C + "SELECT layer AS raw, CASE layer WHEN '地饰' THEN 'FLOOR_DECORATION' WHEN '家具' THEN 'FURNITURE' WHEN '装施家具' THEN 'INSTALLED_FURNITURE' ELSE CASE WHEN regexp_matches(layer, '[\\x{4e00}-\\x{9fff}]') THEN layer ELSE upper(replace(layer, ' ', '_')) END END AS layer FROM (SELECT DISTINCT layer FROM n WHERE layer IS NOT NULL AND NOT regexp_matches(layer, '[^\\x{00}-\\x{7f}\\x{4e00}-\\x{9fff}]'))")
+@query(C + "SELECT layer AS raw, CASE layer WHEN '地饰' THEN 'FLOOR_DECORATION' WHEN '家具' THEN 'FURNITURE' WHEN '装施家具' THEN 'INSTALLED_FURNITURE' ELSE CASE WHEN regexp_matches(layer, '[\\x{4e00}-\\x{9fff}]') THEN layer ELSE replace(upper(replace(replace(layer, 'ß', '\x01'), ' ', '_')), '\x01', 'SS') END END AS layer FROM (SELECT DISTINCT layer FROM n WHERE layer IS NOT NULL)")
 def layer_name(s: SparkSession, d: str) -> DataFrame:
-    """Names in Latin and CJK letters; engines differ in the upper case of a few other letters."""
-    raw = _nodes(s, d).where("layer is not null").select(F.col("layer").alias("raw")).distinct().where(~F.col("raw").rlike("[^\\x00-\\x7f\\u4e00-\\u9fff]"))
-    return raw.select("raw", text.layer_name("raw").alias("layer"))
-
-
-@query()
-def layer_name_all(s: SparkSession, d: str) -> DataFrame:
-    """Names in letters of any script; layer_name has only those on which DuckDB's upper case agrees."""
-    raw = _nodes(s, d).where("layer is not null").select(F.col("layer").alias("raw")).distinct()
+    """Every name, in letters of any script."""
+    raw = _nodes(s, d, "layer").where("layer is not null").select(F.col("layer").alias("raw")).distinct()
     return raw.select("raw", text.layer_name("raw").alias("layer"))
 
 
@@ -302,7 +290,8 @@ def top_inventory(s: SparkSession, d: str) -> DataFrame:
 
 @query(_INV + "SELECT floor_plan_id, source_json, epoch_us(extracted_at) AS at, items FROM (SELECT DISTINCT floor_plan_id, source_json, extracted_at, items FROM s)")
 def oxford_join(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "plan_attributes").select("floor_plan_id", "source_json", F.unix_micros("extracted_at").alias("at"), text.inventory_text("inventory").alias("items")).distinct()
+    rows = table(s, d, "plan_attributes").select("floor_plan_id", "source_json", F.unix_micros("extracted_at").alias("at"), text.inventory_phrases("inventory").alias("phrases"))
+    return rows.select("floor_plan_id", "source_json", "at", text.listed(F.col("phrases")).alias("items")).distinct()
 
 
 @query("SELECT noun, n, CASE WHEN n = 1 THEN noun WHEN noun = 'axis' THEN 'axes' WHEN regexp_matches(lower(noun), '[^aeiou]y$') THEN substr(noun, 1, length(noun) - 1) || 'ies' WHEN regexp_matches(lower(noun), '(s|x|z|ch|sh)$') THEN noun || 'es' ELSE noun || 's' END AS word FROM (SELECT DISTINCT CASE WHEN replace(k.key, '_', ' ') = 'bed' THEN 'bedroom' ELSE replace(k.key, '_', ' ') END AS noun, k.value AS n FROM (SELECT unnest(map_entries(inventory)) AS k FROM plan_attributes)) WHERE n IS NOT NULL")
@@ -311,7 +300,7 @@ def pluralize(s: SparkSession, d: str) -> DataFrame:
     return each.select("noun", "n", text.pluralise(F.col("noun"), F.col("n")).alias("word"))
 
 
-_T = "(CAST(regexp_extract(floor_plan_id, '([0-9]+)(\\.svg)?$', 1) AS BIGINT) % 2147483648 * 2654435761 + 42) % 4294967296 % 4"
+_T = "CAST('0x' || substr(md5('42:' || regexp_replace(floor_plan_id, '\\.svg$', '')), 1, 8) AS BIGINT) % 4"
 
 
 @query(
@@ -322,29 +311,26 @@ SELECT DISTINCT floor_plan_id, source_json, epoch_us(extracted_at) AS at, CASE t
 ELSE 'The drawing shows a ' || density || ' arrangement containing ' || items END || '.' || clause AS query FROM b"""
 )
 def render_query(s: SparkSession, d: str) -> DataFrame:
-    number = F.regexp_extract("floor_plan_id", r"([0-9]+)(\.svg)?$", 1).cast("long")
-    template = vectors.random_order(number, 42) % 4
-    clause = F.coalesce(text.adjacency_clause("adjacencies"), F.lit(""))
-    return table(s, d, "plan_attributes").select("floor_plan_id", "source_json", F.unix_micros("extracted_at").alias("at"), text.query_text(template, F.col("density"), text.inventory_text("inventory"), clause).alias("query")).distinct()
+    rows = table(s, d, "plan_attributes").select("floor_plan_id", "source_json", F.unix_micros("extracted_at").alias("at"), "density", "inventory", "adjacencies")
+    return text.with_queries(rows, text.strip_svg("floor_plan_id")).select("floor_plan_id", "source_json", "at", "query").distinct()
 
 
 # ---- pairs -----------------------------------------------------------------
 
-_RULES = "regexp_replace(lower(query), '^\\s+|\\s+$', '', 'g')"
-for _a, _b in text.ABBREVIATIONS:
+# DuckDB's expressions have no boundaries of words of all scripts, so words are put between marks first
+_BLANK = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]"
+_MARKED = [
+    ("\x02bhk\x02\\.\x02", "\x02bedroom hall kitchen"), ("\x02bhk\x02", "\x02bedroom hall kitchen\x02"), ("\x02rk\x02", "\x02room kitchen\x02"),
+    (f"\x02sq(\x02{_BLANK}+\x02)?ft\x02", "\x02square feet\x02"), ("\x02w\x02/\x02", "\x02with"), ("\x022br\x02", "\x022 bedroom\x02"), ("\x023br\x02", "\x023 bedroom\x02"),
+]
+_RULES = f"regexp_replace(regexp_replace(lower(query), '^{_BLANK}+|{_BLANK}+$', '', 'g'), '([\\p{{L}}\\p{{N}}_]+)', '\x02\\1\x02', 'g')"
+for _a, _b in _MARKED:
     _RULES = f"regexp_replace({_RULES}, '{_a}', '{_b}', 'g')"
 
 
-@query(f"SELECT pair_id, {_RULES} AS query FROM pairs WHERE query IS NOT NULL AND NOT regexp_matches(query, '[^\\x{{00}}-\\x{{7f}}]')")
+@query(f"SELECT pair_id, replace({_RULES}, '\x02', '') AS query FROM pairs WHERE query IS NOT NULL")
 def query_normalize(s: SparkSession, d: str) -> DataFrame:
-    """Queries in ASCII; engines differ on blanks and lower case beyond it."""
-    held = table(s, d, "pairs").where("query is not null").where(~F.col("query").rlike("[^\\x00-\\x7f]"))
-    return held.select("pair_id", text.normalise_query("query").alias("query"))
-
-
-@query()
-def query_normalize_all(s: SparkSession, d: str) -> DataFrame:
-    """Every query that is not null; query_normalize has only those in ASCII, on which DuckDB agrees."""
+    """Every query that is not null."""
     return table(s, d, "pairs").where("query is not null").select("pair_id", text.normalise_query("query").alias("query"))
 
 
@@ -353,7 +339,7 @@ def bucket_histogram(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pairs").groupBy(F.coalesce("scale_bucket", "bedroom_count", F.lit(0)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_K = "(pair_id % 2147483648 * 2654435761 + {seed}) % 4294967296"
+_K = "CAST('0x' || substr(md5('{seed}:' || pair_id), 1, 8) AS BIGINT)"
 
 
 @query(
@@ -383,6 +369,36 @@ def holdout_split(s: SparkSession, d: str) -> DataFrame:
     return sampling.holdout_split(table(s, d, "pairs"), "pair_id", 0.9, 7)
 
 
+@query(
+    f"""WITH r AS (SELECT pair_id AS id, row_number() OVER (ORDER BY {_K.format(seed=42)}, pair_id) AS rn, count(*) OVER () AS n FROM pairs)
+SELECT id, CASE WHEN rn <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM r"""
+)
+def random_holdout(s: SparkSession, d: str) -> DataFrame:
+    return sampling.random_holdout(table(s, d, "pairs"), "pair_id", 0.1)
+
+
+@query(f"SELECT id FROM (SELECT pair_id AS id FROM pairs ORDER BY {_K.format(seed=42)}, pair_id LIMIT 500)")
+def uniform_subset(s: SparkSession, d: str) -> DataFrame:
+    """A sample of a stated size is the feature here."""
+    return sampling.subset(table(s, d, "pairs").select(F.col("pair_id").alias("id")), "id", 500)
+
+
+@query("SELECT DISTINCT p.pair_id AS id, s.split FROM (SELECT unnest(train) AS id, 'train' AS split FROM eval_split UNION ALL SELECT unnest(test), 'test' FROM eval_split) s JOIN pairs p ON p.pair_id = s.id")
+def saved_split(s: SparkSession, d: str) -> DataFrame:
+    """The saved positions that are records today, on their sides."""
+    saved = table(s, d, "eval_split")
+    side = lambda c: saved.select(F.explode(F.col(c).cast("array<bigint>")).alias("id"), F.lit(c).alias("split"))
+    return sampling.saved_sides(side("train").unionByName(side("test")), table(s, d, "pairs"), "pair_id")
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT (row_number() OVER (ORDER BY coalesce(len(nodes), 0), contract_id) - 1) // 32 AS batch FROM (SELECT contract_id, arg_max(nodes, ingested_at) AS nodes FROM contracts WHERE _corrupt_record IS NULL GROUP BY 1))
+SELECT batch, row_number() OVER (ORDER BY {_K.format(seed=42).replace('pair_id', 'batch')}, batch) AS position FROM b"""
+)
+def shuffled_batches(s: SparkSession, d: str) -> DataFrame:
+    return sampling.shuffled_batches(sampling.chunk_batches(_sizes(s, d), 32)).select("batch", F.col("position").cast("long").alias("position")).distinct()
+
+
 @query(
     f"""WITH b AS (SELECT pair_id AS id, scale_bucket AS category, {_K.format(seed=42)} AS key FROM pairs WHERE scale_bucket BETWEEN 0 AND 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY key, id) - 1 AS rn FROM b), k AS (SELECT greatest(1, 32 // count(*)) AS per, min(c) AS least FROM (SELECT count(*) AS c FROM b GROUP BY category))
@@ -393,7 +409,7 @@ def balanced_batches(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(s: SparkSession, d: str) -> DataFrame:
-    return ct.usable(table(s, d, "contracts")).select(F.col("contract_id").alias("id"), F.coalesce(F.size("nodes"), F.lit(0)).cast("long").alias("n"))
+    return ct.node_counts(table(s, d, "contracts")).select(F.col("contract_id").alias("id"), F.col("n_nodes").cast("long").alias("n"))
 
 
 @query(C + "SELECT contract_id AS id, coalesce(len(nodes), 0) AS n, (row_number() OVER (ORDER BY coalesce(len(nodes), 0), contract_id) - 1) // 32 AS batch FROM c")
@@ -401,7 +417,14 @@ def chunk_batches(s: SparkSession, d: str) -> DataFrame:
     return sampling.chunk_batches(_sizes(s, d), 32)
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT contract_id AS id, coalesce(len(arg_max(nodes, ingested_at)), 0) AS n FROM contracts WHERE _corrupt_record IS NULL GROUP BY 1),
+o AS (SELECT id, n, greatest(n, 1) AS size, row_number() OVER (ORDER BY greatest(n, 1), n, id) AS rn FROM c),
+f AS (SELECT rn, id, n, size, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS graphs, CAST(size AS BIGINT) AS nodes FROM o WHERE rn = 1
+  UNION ALL SELECT o.rn, o.id, o.n, o.size, f.batch + CASE WHEN x.fits THEN 0 ELSE 1 END, CASE WHEN x.fits THEN f.graphs + 1 ELSE 1 END, CASE WHEN x.fits THEN f.nodes + o.size ELSE o.size END
+  FROM f JOIN o ON o.rn = f.rn + 1, LATERAL (SELECT o.size < 2500 AND f.size < 2500 AND f.graphs < 8 AND f.nodes + o.size <= 2500 AS fits) x)
+SELECT id, n, batch FROM f"""
+)
 def next_fit_batches(s: SparkSession, d: str) -> DataFrame:
     return sampling.next_fit_batches(_sizes(s, d), 2500, 8)
 
@@ -499,7 +522,7 @@ def self_retrieval(s: SparkSession, d: str) -> DataFrame:
 
 @query("WITH l AS (SELECT regexp_replace(floor_plan_id, '\\.svg$', '') AS k, max(row_no) AS row_no FROM plan_embeddings GROUP BY 1) SELECT DISTINCT p.floor_plan_id AS requested, l.row_no FROM pairs p JOIN l ON l.k = regexp_replace(p.floor_plan_id, '\\.svg$', '')")
 def point_lookup_query(s: SparkSession, d: str) -> DataFrame:
-    return search.by_plan(table(s, d, "plan_embeddings"), table(s, d, "pairs").select("floor_plan_id").distinct()).select("requested", "row_no")
+    return search.by_plan(table(s, d, "plan_embeddings"), table(s, d, "pairs").select("floor_plan_id").distinct(), strict=False).select("requested", "row_no")
 
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, round(list_dot_product(e, e), 5) AS squared, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS first, round(e[64] / sqrt(list_dot_product(e, e)), 5) AS last FROM v")

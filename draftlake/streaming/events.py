@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.common import table
+from draftlake.common import shared_folder, table
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
@@ -23,7 +25,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there and return its result; windows x types rows are held in memory."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there and return its result, which is written to the shared folder like its state."""
+    folder = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/result")
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(f"{folder}/result")

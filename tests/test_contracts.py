@@ -64,7 +64,8 @@ def test_proximity_equals_the_double_loop(spark):
         rows += [(plan, i, "L", list(a), list(b), eps) for i, (a, b) in points]
         want |= {(plan, *k): v for k, v in _naive(points, eps).items()}
     df = spark.createDataFrame(rows, "plan int, i int, layer string, start array<double>, end array<double>, eps double")
-    near = proximity.near_pairs(df)
+    near = proximity.near_pairs(df).cache()
+    assert {(r.la, r.lb) for r in near.collect()} == {("L", "L")}
     got = {(r.plan, r.i, r.j): r.distance for r in near.collect()}
     assert got.keys() == want.keys()
     kept = {(r.plan, r.i, r.j) for r in proximity.capped_pairs(near, 3).collect()}
@@ -119,7 +120,7 @@ def test_balanced_batches(spark):
 
 
 def test_node_count_stats_takes_the_upper_median(spark):
-    rows = [(i, list(range(n))) for i, n in enumerate([1, 2, 3, 10])]
-    df = spark.createDataFrame(rows, "contract_id long, nodes array<int>").withColumns({"_corrupt_record": F.lit(None).cast("string"), "ingested_at": F.current_timestamp()})
+    rows = [(i, [(str(k),) for k in range(n)]) for i, n in enumerate([1, 2, 3, 10])]
+    df = spark.createDataFrame(rows, "contract_id long, nodes array<struct<id:string>>").withColumns({"_corrupt_record": F.lit(None).cast("string"), "ingested_at": F.current_timestamp()})
     r = ct.node_count_stats(df).first()
     assert (r.min_nodes, r.median_nodes, r.max_nodes, r.n_graphs) == (1, 3, 10, 4)

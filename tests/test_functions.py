@@ -38,14 +38,14 @@ def test_queries_and_layers_of_all_scripts(spark, tmp_path):
             q = re.sub(a, b, q)
         return q
 
-    got = {r.pair_id: r.query for r in entry.queries()["query_normalize_all"](spark, str(tmp_path)).collect()}
+    got = {r.pair_id: r.query for r in entry.queries()["query_normalize"](spark, str(tmp_path)).collect()}
     assert got == {i: want(q) for i, q in enumerate(queries) if q is not None}
 
     layers = ["m\u00f6bel neu", "\u0441\u0442\u0435\u043d\u0430", "\u00e9tage\u00a01", "pub dim", "\u5bb6\u5177", "\u5899\u4f53 a", None]
     nodes = [dict.fromkeys(("id", "semantic_id", "instance_id", "semantic_label", "geometry_type", "content", "segments", "endpoints", "features", "raw_attributes")) | {"layer": x} for x in layers]
     rows = spark.createDataFrame([(1, None, nodes, None, None, None, datetime(2025, 1, 1))], f"contract_id long, {CONTRACT}, ingested_at timestamp")
     rows.write.parquet(str(tmp_path / "contracts.parquet"))
-    got = {r.raw: r.layer for r in entry.queries()["layer_name_all"](spark, str(tmp_path)).collect()}
+    got = {r.raw: r.layer for r in entry.queries()["layer_name"](spark, str(tmp_path)).collect()}
     assert got == {x: {"\u5bb6\u5177": "FURNITURE", "\u5899\u4f53 a": "\u5899\u4f53 a"}.get(x, x.upper().replace(" ", "_")) for x in layers if x is not None}
 
 

@@ -84,8 +84,11 @@ def test_embedding_index(spark, tmp_path):
     with pytest.raises(Exception, match="3 entries"):
         search.search_one(df, [1.0, 0.0, 0.0]).collect()
     plans = spark.createDataFrame([("b",), ("a.svg",), ("zzz",)], "floor_plan_id string")
-    found = search.by_plan(df.withColumnRenamed("row", "row_no"), plans).collect()
+    found = search.by_plan(df.withColumnRenamed("row", "row_no"), plans, strict=False).collect()
     assert {(r.requested, r.row_no) for r in found} == {("b", 2), ("a.svg", 0)}
+    with pytest.raises(Exception, match="no vector of the plan zzz"):
+        search.by_plan(df.withColumnRenamed("row", "row_no"), plans).collect()
+    assert search.by_plan(df.withColumnRenamed("row", "row_no"), plans.where("floor_plan_id <> 'zzz'")).count() == 2
 
 
 def test_query_vectors(spark):
