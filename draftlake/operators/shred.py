@@ -36,7 +36,7 @@ ADJACENCY = f"array<struct<{ROW}>>"
 #: Paths of the tables of a contract; dotted below an entity.
 CONTRACT_PATHS = (
     "metadata", "nodes.id", "nodes.layer", "nodes.semantic_id", "nodes.instance_id", "nodes.semantic_label", "nodes.geometry_type", "nodes.content",
-    "nodes.segments", "nodes.endpoints", "nodes.features", "edges", "symbols",
+    "nodes.segments", "nodes.endpoints", "nodes.features", "nodes.raw_attributes", "edges", "symbols",
 )
 LINK_PATHS = ("nodes.id", "edges.source", "edges.target", "symbols.node_ids")
 
@@ -84,9 +84,13 @@ def adjacency_of_columns(records: DataFrame, record_id: str, columns: list[str],
 def shred_value(value: object, paths: tuple[str, ...], arrays: frozenset[str]) -> list[dict]:
     """Adjacency rows of one parsed JSON object. ``arrays`` names the paths that hold entities, whether written as an array, one object or a mapping of objects."""
     out: list[dict] = []
+    seen: set[int] = set()
 
     def emit(parent: int, label: str, ordinal: int, is_object: bool, scalar: object) -> int:
         node = xxhash.xxh3_64_intdigest(f"{parent}/{label}/{ordinal}") - (1 << 63)
+        if node in seen:  # arrays within an array repeat places; the first one counts
+            return node
+        seen.add(node)
         if isinstance(scalar, bool):
             scalar = str(scalar).lower()
         out.append({"node": node, "parent": parent, "label": label, "ordinal": ordinal, "is_object": is_object, "scalar": None if scalar is None else str(scalar)})
@@ -186,24 +190,33 @@ def adjacency_rows(packed: DataFrame) -> DataFrame:
     return packed.select("record_id", F.explode_outer("adjacency").alias("r")).where("r is not null").select("record_id", "r.*")
 
 
-def entity_table(rows: DataFrame, entity: str, fields: dict[str, tuple[str, int, str]], extra: Column | None = None) -> DataFrame:
-    """record_id, ordinal, parent and the fields of one entity's objects.
+def entity_table(rows: DataFrame, entity: str, fields: dict[str, tuple[str, int, str]]) -> DataFrame:
+    """record_id, key, parent, ordinal and the fields of one entity's objects.
 
     fields: name -> (label, ordinal, type). Object nodes and their scalar children
-    meet on the object's node and are pivoted; records stay where they are.
+    meet on the object's node and are pivoted by one map per object; records stay where they are.
     """
     labels = {label for label, _, _ in fields.values()}
     mine = rows.where((F.col("is_object") & (F.col("label") == entity)) | (~F.col("is_object") & F.col("label").isin(*labels)))
     key = F.when(F.col("is_object"), F.col("node")).otherwise(F.col("parent"))
-    pick = lambda label, i: F.max(F.when(~F.col("is_object") & (F.col("label") == label) & (F.col("ordinal") == i), F.col("scalar")))
+    # of an array the position is part of the name; null scalars need no entry
+    many = {label for label, i, _ in fields.values() if i}
+    name = F.when(F.col("label").isin(*many), F.concat("label", F.lit("/"), F.col("ordinal").cast("string"))).otherwise(F.col("label")) if many else F.col("label")
+    first = (F.col("ordinal") == 0) | (F.col("label").isin(*many) if many else F.lit(False))
+    of_object = lambda c: F.max(F.when(F.col("is_object"), F.col(c))).alias(c)
     wide = mine.groupBy("record_id", key.alias("key")).agg(
-        F.max("is_object").alias("held"),
-        F.max(F.when(F.col("is_object"), F.col("ordinal"))).alias("ordinal"),
-        F.max(F.when(F.col("is_object"), F.col("parent"))).alias("parent"),
-        *(pick(label, i).alias(name) for name, (label, i, _) in fields.items()),
-    )
-    typed = [F.expr(f"try_cast({name} as {kind})").alias(name) for name, (_, _, kind) in fields.items()]
-    return wide.where("held").select("record_id", "key", "parent", "ordinal", *typed)
+        F.max("is_object").alias("held"), of_object("ordinal"), of_object("parent"),
+        F.collect_list(F.when(~F.col("is_object") & first & F.col("scalar").isNotNull(), F.struct(name, "scalar"))).alias("scalars"),
+    ).where("held")
+    cells = wide.select("record_id", "key", "parent", "ordinal", F.map_from_entries("scalars").alias("cells"))
+    at = lambda label, i: F.try_element_at("cells", F.lit(f"{label}/{i}" if label in many else label))
+    return cells.select("record_id", "key", "parent", "ordinal", *(at(label, i).try_cast(kind).alias(n) for n, (label, i, kind) in fields.items()))
+
+
+def named_scalars(rows: DataFrame, prefix: str) -> DataFrame:
+    """record_id, parent, name, value of the entries of a map, or of an object of free keys, under the label ``prefix``."""
+    held = rows.where(~F.col("is_object") & F.col("label").startswith(f"{prefix}."))
+    return held.select("record_id", "parent", F.substring("label", len(prefix) + 2, 1_000_000).alias("name"), F.col("scalar").alias("value"))
 
 
 def node_number(c: Column) -> Column:

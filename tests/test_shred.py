@@ -1,6 +1,8 @@
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from draftlake.operators import shred
 from draftlake.sources.readers import CONTRACT
 
@@ -103,3 +105,19 @@ def test_flat_tables_hold_every_link_and_contract(spark, tmp_path):
     assert ends == {(1, 0): (None,) * 4, (1, 1): (1.0, 2.0, 3.0, 4.0), (1, 2): (None,) * 4, (10, 0): (5.0, 6.0, None, None)}
     held = {r.contract_id: (r.readable, r.held_nodes, r.held_symbols) for r in table("p4_contracts")}
     assert held == {1: (True, 3, 3), 2: (True, 0, 0), 3: (True, 0, 0), 4: (False, 0, 0), 10: (True, 1, 1), 11: (True, 0, 0)}
+
+
+def test_attributes_extras_and_repeated_places(spark):
+    body = """{"nodes": [{"id": "n1", "raw_attributes": {"stroke": "red", "a.b": null}, "features": {"center": [[1, 2], [3, 4]]},
+        "segments": [{"type": "arc", "extra": {"rx": 2.5, "sweep": 1}}]}], "metadata": {"viewbox": [0, 0, 10, "x"], "layer_counts": {"WALL": 1}}}"""
+    raw = spark.createDataFrame([(7, body)], "contract_id long, body string").withColumn("received_at", F.current_timestamp())
+    paths = (*shred.CONTRACT_PATHS, "metadata")
+    adjacency = shred.latest(shred.adjacency_of_json(raw, "contract_id", "body", "received_at", paths), "record_id", F.desc("at"))
+    rows = shred.adjacency_rows(adjacency).cache()
+    nodes = shred.entity_table(rows, "nodes", {"id": ("id", 0, "string"), "x": ("features.center", 0, "double"), "y": ("features.center", 1, "double")}).collect()
+    assert [(r.id, r.x, r.y) for r in nodes] == [("n1", 1.0, 2.0)]
+    named = shred.named_scalars(rows, "raw_attributes").collect()
+    assert {(r.name, r.value) for r in named if r.value} == {("stroke", "red")} and {r.parent for r in named} == {nodes[0].key}
+    assert [(r.name, r.value, r.parent) for r in shred.named_scalars(rows, "metadata.layer_counts").collect()] == [("WALL", "1", 0)]
+    (segment,) = shred.entity_table(rows, "segments", {"type": ("type", 0, "string"), "rx": ("extra.rx", 0, "double")}).collect()
+    assert (segment.type, segment.rx, segment.parent) == ("arc", 2.5, nodes[0].key)
