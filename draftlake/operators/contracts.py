@@ -160,26 +160,50 @@ def node_features(node_rows: DataFrame) -> DataFrame:
 
 
 def sparse_features(node_rows: DataFrame) -> DataFrame:
-    """contract_id, pos, indices, values: the feature row with one-hot layers and geometry types, zeros left out.
+    """contract_id, pos, indices, values: the feature row of every node, zeros left out.
 
-    Layer vocabularies run to thousands of entries, so rows stay sparse; they are
+    Nine numbers, the contract's own one-hot of the geometry (seven cells, zeros if absent), a
+    one-hot of the layer and one of the geometry type by their vocabularies. Layer
+    vocabularies run to thousands of entries, so rows stay sparse; they are
     joined by value and broadcast only where Catalyst finds them small.
     """
     layers = vocabulary(node_rows, "layer", "UNK").select(F.col("value").alias("layer"), F.col("index").alias("layer_index"))
+    types = vocabulary(node_rows, "geometry_type", "other").select(F.col("value").alias("type"), F.col("index").alias("type_index"))
     width = layers.agg((F.max("layer_index") + 1).alias("width"))
-    numeric = node_features(node_rows).join(node_rows.select("contract_id", "pos", F.coalesce("layer", F.lit("UNK")).alias("layer")), ["contract_id", "pos"])
+    own = node_rows.select("contract_id", "pos", "layer", F.col("geometry_type").alias("type"), F.col("features.geometry_type_onehot").alias("hot"))
+    numeric = node_features(node_rows).join(own, ["contract_id", "pos"])
     numbers = ["length", "center_0", "center_1", "bbox_0", "bbox_1", "bbox_2", "bbox_3", "is_instance", "semantic"]
-    joined = numeric.join(layers, "layer", "left").crossJoin(F.broadcast(width))  # one row
-    cells = F.array(
-        *(F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(numbers)),
-        F.struct((9 + F.col("geometry")).alias("i"), F.lit(1.0).alias("v")),
-        F.struct((16 + F.coalesce("layer_index", F.lit(0))).alias("i"), F.lit(1.0).alias("v")),
-        F.struct((16 + F.col("width") + F.col("geometry")).alias("i"), F.lit(1.0).alias("v")),
+    joined = numeric.join(layers, "layer", "left").join(types, "type", "left").crossJoin(F.broadcast(width))  # one row
+    cell = lambda i, v: F.struct(i.cast("int").alias("i"), v.cast("double").alias("v"))
+    cells = F.concat(
+        F.array(*(cell(F.lit(i), F.col(c)) for i, c in enumerate(numbers))),
+        F.array(*(cell(F.lit(9 + i), vectors.at(F.col("hot").cast("array<double>"), i)) for i in range(7))),
+        F.array(cell(16 + F.coalesce("layer_index", F.lit(0)), F.lit(1.0)), cell(16 + F.col("width") + F.coalesce("type_index", F.lit(0)), F.lit(1.0))),
     )
     held = F.filter(cells, lambda c: c["v"] != 0)
     return joined.select("contract_id", "pos", F.transform(held, lambda c: c["i"]).alias("indices"), F.transform(held, lambda c: c["v"]).alias("values"))
 
 
+def graph_rows(contracts: DataFrame) -> DataFrame:
+    """id, x, src, dst, graph_label: a graph per contract, its nodes' nine numbers and both directions of its edges, built inside its row."""
+    held = narrowed(contracts, _fields("nodes", ("id", "features", "instance_id", "semantic_id")), _fields("edges", ("source", "target")))
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+
+    def nine(n: Column) -> Column:
+        f = n["features"]
+        return F.array(
+            number(f["length"]), *(vectors.at(f["center"], i) for i in range(2)), *(vectors.at(f["bbox"], i) for i in range(4)),
+            (F.coalesce(n["instance_id"], F.lit(-1)) != -1).cast("double"), F.coalesce(n["semantic_id"], F.lit(-1)).cast("double"),
+        )
+
+    ends = edge_ends(contracts, ()).groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("a.pos").alias("s"), F.col("b.pos").alias("d")))).alias("e"))
+    labels = held.select("contract_id", F.explode_outer("nodes.semantic_id").alias("semantic_id"))
+    x = held.select("contract_id", F.transform("nodes", nine).alias("x"))
+    way = lambda a, b: F.coalesce(F.concat(F.transform("e", lambda k: k[a]), F.transform("e", lambda k: k[b])), F.array().cast("array<int>"))
+    joined = x.join(ends, "contract_id", "left").join(graph_label(labels), "contract_id", "left")
+    return joined.select(F.col("contract_id").alias("id"), "x", way("s", "d").alias("src"), way("d", "s").alias("dst"), F.coalesce("graph_label", F.lit(0)).alias("graph_label"))
+
+
 def directed_edges(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Both directions of every edge between nodes that exist, by node position, with distance and relation id."""
     ids = node_rows.groupBy("contract_id", "id").agg(F.max("pos").alias("node"))

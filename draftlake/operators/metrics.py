@@ -48,6 +48,12 @@ def full_rank_metrics(ranks: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     )
 
 
+def both_directions(forward: DataFrame, backward: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """direction and full_rank_metrics of the ranks of texts among plans and of plans among texts."""
+    named = lambda ranks, name: full_rank_metrics(ranks, ks).select(F.lit(name).alias("direction"), "*")
+    return named(forward, "forward").unionByName(named(backward, "backward"))
+
+
 def random_ranks(n_index: DataFrame) -> DataFrame:
     """Analytic baseline in percent: 1/N, and the harmonic number over N.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from draftlake.common import table
 from draftlake.functions import text, vectors
 from draftlake.operators import contracts as ct
-from draftlake.operators import metrics, proximity, sampling, search
+from draftlake.operators import encoder, graph_encoder, metrics, proximity, sampling, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -584,6 +584,77 @@ def full_rank_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics.full_rank_metrics(_ranks(s, d))
 
 
+_B = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT count(*) AS n FROM v),
+w AS (SELECT 'forward' AS direction, vec_id AS query_id, (vec_id + 1) % n AS item FROM v, n WHERE vec_id % 20 = 0 UNION ALL SELECT 'backward', (vec_id + 1) % n, vec_id FROM v, n WHERE vec_id % 20 = 0),
+g AS (SELECT w.*, a.e AS q, round(list_dot_product(a.e, b.e), 6) AS own FROM w JOIN v a ON a.vec_id = w.query_id JOIN v b ON b.vec_id = w.item),
+r AS (SELECT direction, query_id, 1 + count(*) FILTER (WHERE s > own OR (s = own AND x < item)) AS rank FROM (SELECT g.*, c.vec_id AS x, round(list_dot_product(q, c.e), 6) AS s FROM g, v c) GROUP BY 1, 2)
+"""
+
+
+@query(_B + "SELECT direction, " + ", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 2) AS r_at_{k}" for k in (1, 5, 10)) + ", round(100 * avg(1.0::DOUBLE / rank), 2) AS mrr, round(quantile_disc(rank, 0.5)::DOUBLE, 1) AS median_rank FROM r GROUP BY 1")
+def metrics_both_ways(s: SparkSession, d: str) -> DataFrame:
+    """Every 20th vector asks for the next one among all, and the next one for it."""
+    index = _index(s, d)
+    n = index.count()
+    asked = index.where("row % 20 = 0").select(F.col("row").alias("a"), ((F.col("row") + 1) % n).alias("b"))
+    way = lambda q, r: search.rank_of(asked.select(F.col(q).alias("query_id"), F.col(r).alias("right_row")).join(index.select(F.col("row").alias("query_id"), "embedding"), "query_id"), index)
+    return metrics.both_directions(way("a", "b"), way("b", "a"))
+
+
+_V = """, f AS (SELECT contract_id, id, pos, [coalesce(features.length, 0), coalesce(features.center[1], 0), coalesce(features.center[2], 0)] AS v FROM n),
+i AS (SELECT contract_id, id, max(pos) AS node FROM n GROUP BY 1, 2),
+b AS (SELECT e.contract_id, s.node AS a, t.node AS b FROM e JOIN i s ON s.contract_id = e.contract_id AND s.id = e.source JOIN i t ON t.contract_id = e.contract_id AND t.id = e.target),
+d AS (SELECT contract_id, a AS src, b AS dst FROM b UNION ALL SELECT contract_id, b, a FROM b)
+"""
+
+
+def _node_vectors(s: SparkSession, d: str) -> DataFrame:
+    f = F.col("features")
+    v = F.array(F.coalesce(f["length"], F.lit(0.0)), vectors.at(f["center"], 0), vectors.at(f["center"], 1))
+    return _nodes(s, d, "features").select("contract_id", F.col("pos").alias("node"), v.alias("vector"))
+
+
+@query(C + _V + "SELECT contract_id, " + ", ".join(f"round({a}(v[{i + 1}]), 6) AS {a}_{i}" for a in ("avg", "max") for i in range(3)) + " FROM f GROUP BY 1")
+def graph_pooling(s: SparkSession, d: str) -> DataFrame:
+    pooled = encoder.graph_pool(_node_vectors(s, d), ["contract_id"])
+    return pooled.select("contract_id", *(F.round(F.get("vector", F.lit(3 * k + i)), 6).alias(f"{a}_{i}") for k, a in enumerate(("avg", "max")) for i in range(3)))
+
+
+@query(
+    C
+    + _V
+    + ", m AS (SELECT d.contract_id, d.dst, "
+    + ", ".join(f"avg(f.v[{i + 1}]) AS m{i}" for i in range(3))
+    + " FROM d JOIN f ON f.contract_id = d.contract_id AND f.pos = d.src GROUP BY 1, 2) SELECT f.contract_id, f.pos AS node, "
+    + ", ".join(f"round(coalesce(m{i}, 0), 6) AS mean_{i}" for i in range(3))
+    + " FROM f LEFT JOIN m ON m.contract_id = f.contract_id AND m.dst = f.pos"
+)
+def neighbour_means(s: SparkSession, d: str) -> DataFrame:
+    ends = ct.edge_ends(table(s, d, "contracts"), ()).select("contract_id", "pos", F.lit(0.0).alias("distance"), F.lit("").alias("relation"), F.col("a.pos").alias("a"), F.col("b.pos").alias("b"))
+    means = encoder.neighbour_mean(_node_vectors(s, d), ct.both_ways(ends).select("contract_id", "src", "dst"))
+    return means.select("contract_id", "node", *(F.round(F.get("neighbours", F.lit(i)), 6).alias(f"mean_{i}") for i in range(3)))
+
+
+@query("SELECT label, CAST(i AS INT) AS i, round(avg(x), 6) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
+def mean_pooling(s: SparkSession, d: str) -> DataFrame:
+    pooled = encoder.mean_pool(table(s, d, "embeddings").select("label", "embedding"), ["label"], "embedding")
+    return pooled.select("label", F.posexplode("mean").alias("i", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@query(C + ", g AS (SELECT contract_id, max(pos) AS last, count(*) AS k FROM n GROUP BY 1) SELECT c.contract_id, coalesce(k, 0) AS n_nodes FROM c LEFT JOIN g ON g.contract_id = c.contract_id")
+def graph_embeddings(s: SparkSession, d: str) -> DataFrame:
+    """Contracts under an untrained encoder of three layers; the SQL counts the nodes that each graph was made of."""
+    graphs = ct.graph_rows(table(s, d, "contracts"))
+    encoded = graph_encoder.encode_graphs(graphs, *graph_encoder.seeded_weights(9))
+    held = encoded.where(F.size("embedding") == 16).select("id").join(graphs.select("id", F.coalesce(F.size("x"), F.lit(0)).cast("long").alias("n_nodes")), "id")
+    return held.withColumnRenamed("id", "contract_id")
+
+
+@query()
+def sparse_feature_rows(s: SparkSession, d: str) -> DataFrame:
+    return ct.sparse_features(_nodes(s, d, "layer", "geometry_type", "features", "instance_id", "semantic_id"))
+
+
 @query("SELECT k, least(k::DOUBLE / n, 1.0) AS recall FROM (SELECT count(*) AS n FROM plan_embeddings), (SELECT unnest([1, 5, 10]) AS k)")
 def random_baseline(s: SparkSession, d: str) -> DataFrame:
     return metrics.random_recall(table(s, d, "plan_embeddings").agg(F.count(F.lit(1)).alias("n")))

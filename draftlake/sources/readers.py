@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "array<double>"
@@ -96,6 +96,39 @@ def read_or_create(spark: SparkSession, path: str, build) -> DataFrame:  # noqa:
     return spark.read.parquet(path)
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A written table of graph rows. Older ones lack fields, which are filled in: no path, and the label that the semantic ids give, or 0."""
+    held = spark.read.parquet(path)
+    if "graph_path" not in held.columns:
+        held = held.withColumn("graph_path", F.lit(""))
+    if "graph_label" not in held.columns:
+        label = F.lit(0)
+        if "semantic_ids" in held.columns:
+            known = F.array_sort(F.filter("semantic_ids", lambda x: x >= 0))
+            count = lambda x: F.size(F.filter(known, lambda y: y == x))
+            most = F.array_min(F.transform(F.array_distinct(known), lambda x: F.struct((-count(x)).alias("n"), x.alias("id"))))
+            label = F.coalesce(most["id"] + 1, F.lit(0))
+        held = held.withColumn("graph_label", label.cast("int"))
+    return held.withColumn("graph_path", F.coalesce("graph_path", F.lit(""))).withColumn("graph_label", F.coalesce("graph_label", F.lit(0)))
+
+
+def query_rows(pairs: DataFrame) -> DataFrame:
+    """floor_plan_id, query of the pairs that have both."""
+    return pairs.select("floor_plan_id", "query").where("floor_plan_id is not null and query is not null")
+
+
+def side_of_path(path: Column, train_root: str, test_root: str) -> Column:
+    """train or test if the normalised path lies below one of the roots, else null; train wins where both hold it."""
+    from posixpath import normpath
+
+    clean = F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"/(?:\./)+", "/"), r"/{2,}", "/")
+    # a folder and the step back out of it cancel, from the innermost outwards
+    for _ in range(8):
+        clean = F.regexp_replace(clean, r"(^|/)(?!\.\.(?:/|$))[^/]+/\.\./", "$1")
+    below = lambda root: clean.startswith(normpath(root).rstrip("/") + "/")
+    return F.when(below(train_root), F.lit("train")).when(below(test_root), F.lit("test"))
+
+
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """floor_plan_id and path of the ``*.png`` files of a folder; contents aren't read until asked for."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder)

@@ -36,6 +36,22 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per line: attributes, pairs, splits, search results and reports for other tools."""
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def report_document(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row, one JSON text with the rows of each (small) table of a report under its name."""
+    whole = None
+    for name, df in parts.items():
+        part = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        whole = part if whole is None else whole.crossJoin(part)  # one row each
+    if whole is None:
+        raise ValueError("a report has at least one table")
+    return whole.select(F.to_json(F.struct(*parts)).alias("document"))
+
+
 def write_index(embeddings: DataFrame, path: str) -> DataFrame:
     """Write an embedding index and return its one-row summary."""
     embeddings.write.mode("overwrite").parquet(path)
