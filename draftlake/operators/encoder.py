@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,19 @@ def sage_layer(node_vectors: DataFrame, edges: DataFrame, own: list[list[float]]
     both = neighbour_mean(node_vectors, edges)
     summed = F.zip_with(linear(F.col("vector"), own, bias), linear(F.col("neighbours"), other), lambda a, b: a + b)
     return both.select("contract_id", "node", (F.transform(summed, lambda x: F.greatest(x, F.lit(0.0))) if relu else summed).alias("vector"))
+
+
+def encode_by_halves(encode: Callable[[list], list], items: list, too_large: tuple[type[BaseException], ...] = (MemoryError,)) -> list:
+    """What ``encode`` makes of the items, in their order; a batch that is too large for it is halved until it fits.
+
+    For use inside a worker's batches. A single item that doesn't fit raises.
+    """
+    if not items:
+        return []
+    try:
+        return list(encode(items))
+    except too_large:
+        if len(items) == 1:
+            raise
+        half = len(items) // 2
+        return encode_by_halves(encode, items[:half], too_large) + encode_by_halves(encode, items[half:], too_large)

@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from draftlake import index
 from draftlake.operators import contracts as ct
 from draftlake.operators import graph_encoder as ge
 from draftlake.operators import metrics
+from draftlake.operators.encoder import encode_by_halves
 from draftlake.sources import readers, sinks
 from draftlake.sources.readers import CONTRACT
 
@@ -117,3 +119,37 @@ def test_metrics_in_both_directions(spark):
     got = {r.direction: r for r in metrics.both_directions(ranks, ranks.limit(1)).collect()}
     assert got["forward"].r_at_1 == 50.0 and got["forward"].mrr == 62.5
     assert set(got) == {"forward", "backward"}
+
+
+def test_too_large_batches_are_halved():
+    sizes = []
+
+    def encode(items):
+        if len(items) > 3:
+            raise MemoryError
+        sizes.append(len(items))
+        return [i * 10 for i in items]
+
+    assert encode_by_halves(encode, list(range(10))) == [i * 10 for i in range(10)] and max(sizes) <= 3
+    assert encode_by_halves(encode, []) == []
+
+    def never(items):
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        encode_by_halves(never, [1])
+
+
+def test_index_command(spark, tmp_path, capsys):
+    rows = [(0, "a", [1.0, 0.0]), (1, "b.svg", [0.0, 1.0]), (2, "c", [0.6, 0.8])]
+    spark.createDataFrame(rows, "row long, floor_plan_id string, embedding array<double>").write.parquet(str(tmp_path / "i"))
+    (tmp_path / "v.json").write_text("[[0.0, 2.0]]")
+    index.main(["--index", str(tmp_path / "i"), "--vector", str(tmp_path / "v.json"), "--top-k", "2"])
+    assert [json.loads(x)["row"] for x in capsys.readouterr().out.split("\n") if x.startswith("{")] == [1, 2]
+    index.main(["--index", str(tmp_path / "i"), "--plan", "b", "--out", str(tmp_path / "o")])
+    assert {r.row for r in spark.read.json(str(tmp_path / "o")).where("rank = 1").collect()} == {1}
+    index.main(["--index", str(tmp_path / "i"), "--random", "3", "--top-k", "9"])
+    with pytest.raises(SystemExit):
+        index.main(["--index", "x", "--random", "3", "--plan", "b"])
+    with pytest.raises(Exception, match="no vector of the plan"):
+        index.main(["--index", str(tmp_path / "i"), "--plan", "zzz"])
