@@ -44,6 +44,28 @@ def query_pairs(attributes: DataFrame, plan: Column, seed: int = 42) -> DataFram
     return text.with_queries(attributes, plan, seed).select(plan.alias("floor_plan_id"), "query", vectors.scale_bucket(F.try_element_at("inventory", F.lit("bed"))).alias("scale_bucket"), F.lit("dynamic").alias("template_type"))
 
 
+def located(pairs: DataFrame, graphs: DataFrame) -> DataFrame:
+    """pair_id, graph_path, via: the graph of each pair by its path, or by its file name where no path fits (of several the last); pairs without one are left out."""
+    exact = graphs.select("graph_path").where("graph_path is not null").distinct().withColumn("x", F.col("graph_path"))
+    named = graphs.where("graph_path is not null").groupBy(text.base_name("graph_path").alias("base")).agg(F.max("graph_path").alias("y"))
+    asked = pairs.select("pair_id", "graph_path", text.base_name("graph_path").alias("base"))
+    both = asked.join(exact, "graph_path", "left").join(named, "base", "left").select("pair_id", F.coalesce("x", "y").alias("graph_path"), F.when(F.col("x").isNotNull(), "path").otherwise("name").alias("via"))
+    return both.where("graph_path is not null")
+
+
+def training_batches(pairs: DataFrame, graphs: DataFrame, batch_size: int = 32, seed: int = 42) -> DataFrame:
+    """batch, position, pair_id, query, category and the graph's columns: batches balanced over categories, none of a single pair.
+
+    pairs(pair_id, query, graph_path, scale_bucket[, bedroom_count]); graphs(graph_path, ...).
+    """
+    category = F.coalesce("scale_bucket", *(["bedroom_count"] if "bedroom_count" in pairs.columns else []), F.lit(-1))
+    held = located(pairs.where("query is not null"), graphs).select("pair_id", "graph_path")
+    rows = pairs.select("pair_id", "query", category.alias("category")).join(held, "pair_id")
+    batches = sampling.full_batches(sampling.balanced_batches(rows, "pair_id", F.col("category"), batch_size, seed))
+    ordered = sampling.shuffled_batches(batches, seed).select(F.col("id").alias("pair_id"), "batch", "position")
+    return ordered.join(rows, "pair_id").join(graphs, "graph_path")
+
+
 def retrieve(queries: DataFrame, index: DataFrame, top_k: int = 5, vectoriser: Vectoriser = encoder.hashed_words) -> DataFrame:
     """query_id, rank, row, floor_plan_id, score: the plans that answer each text. queries(id, text), index(row, floor_plan_id, embedding)."""
     asked = vectoriser(queries).select(F.col("id").alias("query_id"), "embedding")

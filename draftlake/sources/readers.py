@@ -69,6 +69,27 @@ def read_embeddings(spark: SparkSession, path: str, dim: int | None = None) -> D
     return index
 
 
+def concatenated(parts: list[DataFrame], row: str = "row") -> DataFrame:
+    """Indexes one after the other: the rows of each part are numbered on from the largest number of the parts before."""
+    out, offset = None, 0
+    for part in parts:
+        moved = part.withColumn(row, F.col(row) + offset)
+        out = moved if out is None else out.unionByName(moved)
+        offset += (part.agg(F.max(row).alias("m")).first().m if len(parts) > 1 else None) or 0
+        offset += 1
+    if out is None:
+        raise ValueError("nothing to concatenate")
+    return out
+
+
+def guarded_attributes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Attributes from files of JSON lines, each record guarded by itself: the readable ones, and path and text of those that aren't."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
+    parsed = raw.withColumn("r", F.from_json("value", f"{ATTRIBUTES}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | F.col("r.floor_plan_id").isNull()
+    return parsed.where(~bad).select("r.*").drop("_corrupt_record"), parsed.where(bad).select("path", "value")
+
+
 def query_vector(spark: SparkSession, values: object) -> DataFrame:
     """One row with the vector of a list, or of a list with one list in it."""
     v = list(values)  # type: ignore[call-overload]
@@ -85,10 +106,12 @@ def random_vector(spark: SparkSession, dim: int, seed: int) -> DataFrame:
     return query_vector(spark, np.random.default_rng(seed).normal(size=dim).tolist())
 
 
-def read_or_create(spark: SparkSession, path: str, build) -> DataFrame:  # noqa: ANN001
-    """The table at a path, made by ``build()`` and written there first if it isn't yet."""
+def read_or_create(spark: SparkSession, path: str, build, n_rows: int | None = None) -> DataFrame:  # noqa: ANN001
+    """The table at a path, made by ``build()`` and written there first if it isn't yet, or has other than ``n_rows`` rows."""
     try:
-        return spark.read.parquet(path)
+        held = spark.read.parquet(path)
+        if n_rows is None or held.count() == n_rows:
+            return held
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftlake import index
+from draftlake.functions import vectors
 from draftlake.operators import contracts as ct
 from draftlake.operators import graph_encoder as ge
 from draftlake.operators import metrics
@@ -153,3 +154,23 @@ def test_index_command(spark, tmp_path, capsys):
         index.main(["--index", "x", "--random", "3", "--plan", "b"])
     with pytest.raises(Exception, match="no vector of the plan"):
         index.main(["--index", str(tmp_path / "i"), "--plan", "zzz"])
+
+
+def test_reading_helpers(spark, tmp_path):
+    two = readers.concatenated([spark.createDataFrame([(0, "a"), (1, "b")], "row long, k string"), spark.createDataFrame([(0, "c")], "row long, k string")])
+    assert sorted((r.row, r.k) for r in two.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    build = lambda: spark.range(3)
+    assert readers.read_or_create(spark, str(tmp_path / "t"), build, 3).count() == 3
+    assert readers.read_or_create(spark, str(tmp_path / "t"), lambda: spark.range(5), 3).count() == 3
+    assert readers.read_or_create(spark, str(tmp_path / "t"), lambda: spark.range(5), 5).count() == 5
+    (tmp_path / "a.json").write_text('{"floor_plan_id": "p", "inventory": {"bed": 2}}\nnot json\n\n{"floor_plan_id": "q", "inventory": 7}\n')
+    good, bad = readers.guarded_attributes(spark, str(tmp_path / "a.json"))
+    assert [r.floor_plan_id for r in good.collect()] == ["p"] and sorted(r.value for r in bad.collect()) == ["not json", '{"floor_plan_id": "q", "inventory": 7}']
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([("7", 2.0), ("x", 0.0), (None, None)], "s string, r double").coalesce(1)
+    got = df.select(vectors.safe(F.col("s"), "int", -1).alias("i"), vectors.circumference(F.col("r")).alias("c"), vectors.temperature(F.col("r")).alias("t")).collect()
+    assert [r.i for r in got] == [7, -1, -1] and got[0].c == pytest.approx(4 * math.pi) and got[2].c is None
+    assert got[0].t == pytest.approx(math.exp(-2)) and got[1].t == 1.0
+    assert spark.range(1).select(vectors.temperature(F.lit(50.0)).alias("t")).first().t == 0.01

@@ -55,3 +55,16 @@ def test_contrastive_loss(spark):
     want = -math.log(math.exp(2) / (math.exp(2) + 1))
     assert metrics.contrastive_loss(s, 2.0).first().loss == pytest.approx(want, abs=1e-6)
     assert metrics.weighted_means(spark.createDataFrame([(1, 1.0), (3, 2.0)], "size int, value double")).first()["mean"] == 1.75
+
+
+def test_training_batches(spark):
+    pairs = spark.createDataFrame([(i, f"q{i}", f"/a/p{i % 4}.json", i % 2) for i in range(20)] + [(90, None, "/a/p0.json", 0), (91, "q", "/zzz.json", 0), (92, "q", "/other/p1.json", 1)], "pair_id long, query string, graph_path string, scale_bucket int")
+    graphs = spark.createDataFrame([(f"/a/p{k}.json", [k]) for k in range(4)], "graph_path string, x array<int>")
+    via = {r.pair_id: (r.graph_path, r.via) for r in pipeline.located(pairs, graphs).collect()}
+    assert via[92] == ("/a/p1.json", "name") and via[0] == ("/a/p0.json", "path") and 91 not in via
+    got = pipeline.training_batches(pairs, graphs, 4).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.batch, []).append(r.category)
+    assert all(sorted(c) == [0, 0, 1, 1] for c in by.values()) and len(by) == 5 and {r.position for r in got} == {1, 2, 3, 4, 5}
+    assert all(r.x == [r.pair_id % 4] for r in got if r.pair_id < 20)
