@@ -17,6 +17,7 @@ NODE_FIELDS = {
     "min_x": ("features.bbox", 0, "double"), "min_y": ("features.bbox", 1, "double"), "max_x": ("features.bbox", 2, "double"), "max_y": ("features.bbox", 3, "double"),
     "radius": ("features.radius", 0, "double"), "rx": ("features.rx", 0, "double"), "ry": ("features.ry", 0, "double"),
     "start_x": ("endpoints.start", 0, "double"), "start_y": ("endpoints.start", 1, "double"), "end_x": ("endpoints.end", 0, "double"), "end_y": ("endpoints.end", 1, "double"),
+    **{f"onehot_{i}": ("features.geometry_type_onehot", i, "int") for i in range(7)},
 }
 SEGMENT_FIELDS = {
     "type": ("type", 0, "string"), "length": ("length", 0, "double"), "start_x": ("start", 0, "double"), "start_y": ("start", 1, "double"), "end_x": ("end", 0, "double"), "end_y": ("end", 1, "double"),
