@@ -32,6 +32,8 @@ REPAIRED_ABBREVIATIONS = [
     (r"\bsq\.?\s*ft\b\.?", "square feet"),
     (r"\b(\d+)\s*br\b", "$1 bedroom"),
 ]
+#: What every rule's match contains.
+SHORTHAND = r"bhk|(?<![a-z])rk|\dbr|\d\s*[br]|sq|w/"
 LAYER_NAMES = {"地饰": "FLOOR_DECORATION", "家具": "FURNITURE", "装施家具": "INSTALLED_FURNITURE"}
 NOT_IN_TEXT = [
     "wall", "window", "opening_symbol", "dimension", "single_door", "axis", "floor_decoration", "hatch", "installed_furniture", "column", "blind_window", "dote", "curtwall",
@@ -58,7 +60,9 @@ def normalise_query(c: Column | str, strict: bool = True) -> Column:
     """Lower case, outer blanks removed, shorthand expanded. ``strict`` keeps the fixed rules with their gaps."""
     rules = ABBREVIATIONS if strict else REPAIRED_ABBREVIATIONS
     bare = F.regexp_replace(F.lower(col(c)), f"^{BLANK}+|{BLANK}+$", "")
-    return reduce(lambda x, rule: F.regexp_replace(x, F.lit(any_script(rule[0])), F.lit(rule[1])), rules, bare)
+    expanded = reduce(lambda x, rule: F.regexp_replace(x, F.lit(any_script(rule[0])), F.lit(rule[1])), rules, bare)
+    # one search without boundaries tells the texts that hold no shorthand at all
+    return F.when(bare.rlike(SHORTHAND), expanded).otherwise(bare)
 
 
 def is_garbage_label(c: Column | str) -> Column:

@@ -71,8 +71,9 @@ def edge_ends(contracts: DataFrame, fields: tuple[str, ...], edge_fields: tuple[
 
 
 def label_inventory(node_rows: DataFrame) -> DataFrame:
-    """contract_id, label, n: primitives per clean label."""
-    return node_rows.select("contract_id", text.clean_label("semantic_label").alias("label")).where("label is not null").groupBy("contract_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    """contract_id, label, n: primitives per clean label. Labels as written are counted first, so each is cleaned once per contract."""
+    written = node_rows.groupBy("contract_id", "semantic_label").agg(F.count(F.lit(1)).alias("n"))
+    return written.select("contract_id", text.clean_label("semantic_label").alias("label"), "n").where("label is not null").groupBy("contract_id", "label").agg(F.sum("n").alias("n"))
 
 
 def inventory_maps(inventory: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def adjacency_pairs(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 def label_pairs(ends: DataFrame) -> DataFrame:
     """adjacency_pairs of edges whose ends have the labels a and b."""
-    clean = ends.select("contract_id", text.clean_label("a").alias("a"), text.clean_label("b").alias("b"))
+    clean = ends.select("contract_id", "a", "b").distinct().select("contract_id", text.clean_label("a").alias("a"), text.clean_label("b").alias("b"))
     both = clean.where("a <> b").where(~F.col("a").isin(NOT_ADJACENT) & ~F.col("b").isin(NOT_ADJACENT))
     return both.select("contract_id", F.least("a", "b").alias("label_a"), F.greatest("a", "b").alias("label_b"), text.adjacency_sentence(F.col("a"), F.col("b")).alias("sentence")).distinct()
 
