@@ -20,7 +20,8 @@ def near_pairs(nodes: DataFrame, eps: Column | str = "eps") -> DataFrame:
 
     nodes(plan, i, layer, start, end, eps). A grid with cells of eps turns the distance
     join into an equi-join: every endpoint is put in its cell, one side also in the
-    eight neighbours, so each task sees near points only.
+    eight neighbours, so each task sees near points only. The points of a small file are
+    many, which its size doesn't tell, so the join is a sort-merge join and no side is broadcast.
     """
     e = F.col(eps) if isinstance(eps, str) else eps
     kept = nodes.where(F.col("start").isNotNull() & F.col("end").isNotNull() & (e >= 0))
@@ -31,7 +32,7 @@ def near_pairs(nodes: DataFrame, eps: Column | str = "eps") -> DataFrame:
     left = points.select("plan", F.col("i"), "eps", F.col("layer").alias("la"), F.col("start").alias("s"), F.col("end").alias("e"), "cx", "cy")
     right = points.select("plan", F.col("i").alias("j"), F.col("layer").alias("lb"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(around).alias("d"), "cx", "cy")
     right = right.select("plan", "j", "lb", "s2", "e2", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-    joined = left.join(right, ["plan", "cx", "cy"]).where("i < j")
+    joined = left.hint("merge").join(right, ["plan", "cx", "cy"]).where("i < j")
     d = F.least(*(vectors.distance(F.col(a), F.col(b)) for a in ("s", "e") for b in ("s2", "e2")))
     near = joined.select("plan", "i", "j", "la", "lb", "eps", d.alias("distance")).where(F.col("distance") <= F.col("eps")).drop("eps")
     # two nodes may meet in several cells, with one distance and their own layers

@@ -78,6 +78,18 @@ def test_proximity_equals_the_double_loop(spark):
     assert kept == expected
 
 
+def test_near_pairs_broadcast_no_points(spark, tmp_path):
+    # one short row of a file holds any number of points
+    points = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.struct(i.alias("i"), F.array(i * 0.1, F.lit(0.0)).alias("start"), F.array(i * 0.1, F.lit(9.0)).alias("end")))
+    spark.range(1).select(F.col("id").alias("plan"), points.alias("n")).write.parquet(str(tmp_path / "n"))
+    rows = spark.read.parquet(str(tmp_path / "n")).select("plan", F.explode("n").alias("n")).select("plan", "n.*", F.lit("L").alias("layer"), F.lit(0.11).alias("eps"))
+    near = proximity.near_pairs(rows)
+    assert near.count() == 499 and proximity.capped_pairs(near, 3).count() == 499
+    for df in (near, proximity.capped_pairs(near, 3)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def _next_fit(sizes, most_nodes, most_graphs):
     out, batch, graphs, total = {}, 0, 0, 0
     for n, i in sorted((n, i) for i, n in sizes):
