@@ -13,9 +13,9 @@ representative takes part in the join, so a text that makes up a third of all
 rows costs one row. As the check requires the stated numbers to agree, they are part of
 the join key, and classes whose numbers don't occur on the other side leave before any
 chunk moves. A key that is still frequent is refined with the record's other chunks
-(or joined alone only where the chunk makes up min_overlap of the record by itself): two
-records of which one shares min_overlap share a second chunk or have such a one, so
-nothing is lost. Classes are expanded to records in parts of SALT_ROWS, and the report
+(or, where the chunk makes up min_overlap of one record by itself, meets all records of
+the other side, however little of them it is): two records of which one shares min_overlap
+share a second chunk or have such a one, so nothing is lost. Classes are expanded to records in parts of SALT_ROWS, and the report
 counts members per class instead of expanding them.
 
 Edge cases: null and blank texts never match; a text without any word or digit
@@ -276,22 +276,22 @@ def _numbers_key(numbers: list[str]) -> int:
 
 
 def stated_numbers(tokens: list[str]) -> list[int]:
-    """Key of all numbers of a text, and of all but the last where the text may be cut within it."""
+    """Key of all numbers of a text, and of all but the last where the text may be cut within it (up to two marks may follow)."""
     numbers = [t for t in tokens if t.isdigit()]
     keys = [_numbers_key(numbers)]
-    if numbers and tokens[-1].isdigit():
+    if any(t.isdigit() for t in tokens[-3:]):
         keys.append(_numbers_key(numbers[:-1]))
     return keys
 
 
 def begun_numbers(tokens: list[str]) -> list[int]:
-    """Keys of the numbers with which a text begins, from half of them to all.
+    """Keys of the numbers with which a text begins, from half of them (less one that was cut) to all.
 
     Equal texts and cut ones (same_statement accepts no others) agree in one of these keys
     and one of the other's stated_numbers, so joining on them loses nothing.
     """
     numbers = [t for t in tokens if t.isdigit()]
-    return list({_numbers_key(numbers[:k]) for k in range(len(numbers) // 2, len(numbers) + 1)})
+    return list({_numbers_key(numbers[:k]) for k in range(max(0, len(numbers) // 2 - 1), len(numbers) + 1)})
 
 
 _TOKENS = "id long, is_train boolean, is_test boolean, tokens array<string>"
@@ -335,7 +335,7 @@ def frequent_words(tokens: DataFrame, n_records: int, share: float = FREQUENT_SH
 def _classes(cuts: DataFrame) -> DataFrame:
     """One row per class of equal records: its representative, the sides it lies on with their numbers of records, and its numbers."""
     return cuts.groupBy("class_id").agg(
-        F.min("id").alias("id"), F.count_if("is_train").alias("n_train"), F.count_if("is_test").alias("n_test"), F.first("stated").alias("stated"), F.first("begun").alias("begun")
+        F.min("id").alias("id"), F.count_if("is_train").alias("n_train"), F.count_if("is_test").alias("n_test"), F.min_by("stated", "id").alias("stated"), F.min_by("begun", "id").alias("begun")
     )
 
 
@@ -395,12 +395,13 @@ def overlap_links(records: DataFrame, sides: DataFrame, min_overlap: float = MIN
     pieces = pieces.withColumn("others", F.expr("transform(filter(chunks, x -> x.chunking = c.chunking and x.digest <> c.digest), x -> x.digest)"))
     pieces = pieces.withColumn("total", F.expr("aggregate(filter(chunks, x -> x.chunking = c.chunking), 0, (s, x) -> s + x.length)"))
     nothing = F.lit(0).cast("long")
-    alone = F.when(F.col("c.length") >= min_overlap * F.col("total"), F.array(nothing)).otherwise(F.array().cast("array<long>"))
-    pieces = pieces.select("class_id", "n_train", "n_test", "stated", "begun", "c.digest", F.concat("others", alone).alias("refined"))
+    pieces = pieces.select("class_id", "n_train", "n_test", "stated", "begun", "c.digest", "others", (F.col("c.length") / F.col("total") >= min_overlap).alias("alone"))
 
     def keyed(side: str, numbers: Column) -> DataFrame:
-        """class, key, refined: a side's records by digest and numbers."""
-        each = pieces.where(F.col(f"n_{side}") > 0).select(F.col("class_id").alias(f"{side}_class"), "digest", "refined", F.explode(numbers).alias("numbers"))
+        """class, key, refined: a side's records by digest and numbers; a record whose chunk is enough by itself meets all of the other side."""
+        mine, theirs = (F.lit(k).cast("long") for k in ((1, 2) if side == "train" else (2, 1)))
+        met = F.when(F.col("alone"), F.array(mine, theirs)).otherwise(F.array(theirs))
+        each = pieces.where(F.col(f"n_{side}") > 0).select(F.col("class_id").alias(f"{side}_class"), "digest", F.concat("others", met).alias("refined"), F.explode(numbers).alias("numbers"))
         return each.select(f"{side}_class", F.xxhash64("digest", "numbers").alias("key"), "refined")
 
     def meet(a: str, b: str, begun: Column) -> DataFrame:

@@ -128,3 +128,35 @@ def test_chunks_cover_the_text_and_follow_the_content():
     whole = so.content_chunks(a, so.CHUNKINGS[0])
     assert sum(n for _, n in whole) + len(whole) - 1 == len(" ".join(a))
     assert len({*whole} & {*so.content_chunks(["new", "words"] + a, so.CHUNKINGS[0])}) >= len(whole) // 2
+
+
+def test_hot_keys_keep_records_that_share_little_of_themselves(spark, monkeypatch):
+    monkeypatch.setattr(so, "HOT_KEY", 2)
+    others = "amber basil cedar delta ember fjord grove heron inlet jetty knoll larch maple north ochre petal quartz reeds slate thorn umber velvet willow yarrow zinnia".split()
+    longer = lambda i: "6 coral lamp " + " ".join(others[(5 * i + k) % 25] for k in range(6))
+    texts = ["6 coral lamp"] + [longer(i) for i in range(5)]
+    train, test = [0, 1, 2], [3, 4, 5]
+    rows = [(i, x, i in train, i in test) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, is_train boolean, is_test boolean")
+    tokens = [so.canonical_tokens(x) for x in texts]
+
+    def enough(a, b):
+        for m in so.CHUNKINGS:
+            x, y = (dict(so.content_chunks(t, m)) for t in (a, b))
+            shared = sum(n for d, n in x.items() if d in y)
+            if shared >= so.MIN_OVERLAP * min(sum(x.values()), sum(y.values())):
+                return True
+        return False
+
+    first = so.content_chunks(tokens[0], so.CHUNKINGS[0])[0]
+    chunks = [so.content_chunks(t, so.CHUNKINGS[0]) for t in tokens[3:]]
+    assert all(first in c and first[1] < so.MIN_OVERLAP * sum(n for _, n in c) for c in chunks)
+    want = {(i, j) for i in train for j in test if enough(tokens[i], tokens[j]) and so.same_statement(tokens[i], tokens[j])}
+    assert want == {(0, 3), (0, 4), (0, 5)}
+    got = so.overlap_pairs(df.select("id", "text"), df.select("id", "is_train", "is_test"))
+    assert {(r.pair_a, r.pair_b) for r in got.collect()} == want
+
+
+def test_numbers_cut_before_a_mark_share_a_key():
+    a, b = (so.canonical_tokens(f"wide house garage room pool 3 kitchen hall balcony {end}") for end in ("1 thanks", "12 room"))
+    assert so.same_statement(a, b) and set(so.stated_numbers(a)) & set(so.begun_numbers(b))
