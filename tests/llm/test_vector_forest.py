@@ -130,3 +130,20 @@ def test_hot_groups_are_cut_into_blocks(spark, monkeypatch):
     got = {(r.row_a, r.row_b) for r in vf.found_pairs(twice).collect()}
     expected = brute(np.concatenate([m[:30]] * 8), list(range(240)), 0.75, 10)
     assert len(got & expected) >= 0.97 * len(expected)
+
+
+def test_trees_in_groups_and_cleaned_shuffles(spark, monkeypatch):
+    m = clusters(30, 10, 0.5, seed=9)
+    packed = vf.packed_rows(spark.createDataFrame(frame(spark, m), SCHEMA)).cache()
+    options = {"trees": 3, "leaf_rows": 10}
+    whole = candidates(packed, 300, **options)
+    monkeypatch.setattr(vf, "ENTRIES_AT_ONCE", 1)
+    crowded = vf.crowded_prefixes(packed, 300, 3, leaf_rows=10, widths=vf.WIDTHS)
+    assert vf.tree_groups(packed, 300, crowded, 3, 256) == [range(0, 1), range(1, 2), range(2, 3)]
+    assert candidates(packed, 300, **options) == whole
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    out = vf.written(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    assert not {f for f in files() - before if f.endswith(".data")}
+    assert out.count() == 1000
